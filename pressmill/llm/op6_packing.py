@@ -165,7 +165,7 @@ def _first_fit(capacity: int):
             room[k] -= length
             while low < len(room) and not room[low]:
                 low += 1
-        return pdf.assign(sequence_id=sequence, offset=offset)
+        return pdf.drop(columns="one").assign(sequence_id=sequence, offset=offset)
 
     return run
 
@@ -190,7 +190,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, workers: int | None = None) -
     rest = rest.withColumn("offset", F.coalesce(within("m", "bin"), F.lit(0)))
     second = rest.where(whole).select(*names, (F.shiftleft("m", 50) + F.shiftleft(F.lit((1 << 19) - 1).cast("long"), 31) + F.col("bin")).alias("sequence_id"), "offset")
     # Fewer than m pieces of each class m are left: about capacity * (ln tolerance + 1) rows at most, whatever the corpus.
-    last = rest.where(~whole).select(*names).groupBy(F.lit(0)).applyInPandas(_first_fit(capacity), cut.schema.add("sequence_id", "long").add("offset", "long"))
+    last = rest.where(~whole).select(*names, F.lit(0).alias("one")).groupBy("one").applyInPandas(_first_fit(capacity), cut.schema.add("sequence_id", "long").add("offset", "long"))
     return full.unionByName(second).unionByName(last)
 
 

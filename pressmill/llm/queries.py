@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pressmill.llm import op1_gif, op2_sharding, op8_warc
+from pressmill.llm import op1_gif, op2_sharding, op3_minhash, op4_toxicity, op5_licenses, op6_packing, op8_warc
 
 QUERIES = {
     "op1_gif": op1_gif.query,
     "op2_minimax_shards": op2_sharding.query,
+    "op3_minhash_dedup": op3_minhash.query,
+    "op4_toxicity_mil": op4_toxicity.query,
+    "op5_license_scan": op5_licenses.query,
+    "op6_harmonic_packing": op6_packing.query,
     "op8_seekable_warc": op8_warc.query,
 }
 ORACLE_SQL: dict[str, str] = {}
