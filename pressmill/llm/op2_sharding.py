@@ -25,7 +25,7 @@ from pressmill.llm.common import text_or_empty, written
 ROW_OVERHEAD = 16
 BUCKET_HEX = 3  # leading hex digits of the digest: 4096 prefix-sum buckets
 SALTS = 64
-SPLITS = 2048  # boundaries asked for in one refinement
+BOUNDARIES = 8192  # boundaries asked for in one refinement
 
 
 def _next_cut(known: list[int], start: int, capacity: int) -> int:
@@ -88,14 +88,23 @@ def minimax_cuts(known: list[int], atomic: set[int], shards: int, largest: int,
         for a, b in zip(first, last, strict=False):
             i, j = bisect_right(known, a) - 1, bisect_right(known, b)
             wanted += [(known[k], known[k + 1]) for k in range(max(i, 0), min(j, len(known) - 1)) if known[k + 1] not in atomic]
-        wanted = sorted(set(wanted))
         if not wanted:
             return high, cuts
-        more, single = finer(wanted)
+        more, single = finer(_merged(wanted))
         known = sorted({*known, *more})
         atomic = (atomic & set(known)) | single
 
 
+def _merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(set(intervals)):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _strict_reach(known: list[int], shards: int, capacity: int) -> list[int]:
     at, out = 0, []
     for _ in range(shards):
@@ -158,15 +167,16 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     )
 
     def finer(intervals: list[tuple[int, int]]) -> tuple[set[int], set[int]]:
-        each = max(2, SPLITS // len(intervals))
-        edges = spark.createDataFrame([(a, b, max(1, -(-(b - a) // each))) for a, b in intervals], "a long, b long, step long")
-        found = (
-            placed.where("not apart").join(F.broadcast(edges), (F.col("upto") > F.col("a")) & (F.col("upto") <= F.col("b")))
-            .groupBy("a", F.expr("(upto - a - 1) div step").alias("part"))
-            .agg(F.max("upto").alias("upto"), F.count("*").alias("k"), F.max("own_bytes").alias("w"))
-            .collect()
-        )
-        return {r.upto for r in found}, {r.upto for r in found if r.k == 1}
+        """All boundaries inside the intervals where they are few, else a share of them by hash: exact ones either way."""
+        inside = F.lit(False)
+        for a, b in intervals:
+            inside = inside | ((F.col("upto") > a) & (F.col("upto") <= b))
+        near = placed.where(~F.col("apart") & inside)
+        share = -(-near.count() // BOUNDARIES)
+        if share > 1:
+            near = near.where(F.pmod(F.xxhash64("upto", F.lit(share)), F.lit(share)) == 0)
+        found = {r.upto for r in near.select("upto").collect()}
+        return found, (found if share <= 1 else set())
 
     cuts: list[int] = []
     if known[-1]:
