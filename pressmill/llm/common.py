@@ -28,7 +28,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write `df` as Parquet into the shared folder and read it back. Survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
