@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pressmill.llm import op1_gif, op2_sharding, op3_minhash, op4_toxicity, op5_licenses, op6_packing, op8_warc
+from pressmill.llm import op1_gif, op2_sharding, op10_lines, op3_minhash, op4_toxicity, op5_licenses, op6_packing, op7_html, op8_warc
 
 QUERIES = {
     "op1_gif": op1_gif.query,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_toxicity_mil": op4_toxicity.query,
     "op5_license_scan": op5_licenses.query,
     "op6_harmonic_packing": op6_packing.query,
+    "op7_html_bp": op7_html.query,
     "op8_seekable_warc": op8_warc.query,
+    "op10_fuzzy_lines": op10_lines.query,
 }
 ORACLE_SQL: dict[str, str] = {}
