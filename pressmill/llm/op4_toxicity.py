@@ -172,6 +172,19 @@ def offending_sentences(docs: DataFrame, model: Model) -> DataFrame:
     return _applied(docs, model, True, "doc_id bigint, sentence_no int, sentence string, score double")
 
 
+def score_column(spark, model: Model, text: str = "text"):
+    """The score as a column, for filters on whole rows."""
+    ship(spark)
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield next(_score_batches(sent, False)(iter([pd.DataFrame({"doc_id": range(len(texts)), "text": texts})])))["score"]
+
+    return scored(text_or_empty(text))
+
+
 def query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pressmill.llm import op1_gif, op2_sharding, op10_lines, op3_minhash, op4_toxicity, op5_licenses, op6_packing, op7_html, op8_warc
+from pressmill.llm import op1_gif, op2_sharding, op10_lines, op3_minhash, op4_toxicity, op5_licenses, op6_packing, op7_html, op8_warc, op9_decontaminate
 
 QUERIES = {
     "op1_gif": op1_gif.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_harmonic_packing": op6_packing.query,
     "op7_html_bp": op7_html.query,
     "op8_seekable_warc": op8_warc.query,
+    "op9_lsa_decontamination": op9_decontaminate.query,
     "op10_fuzzy_lines": op10_lines.query,
 }
 ORACLE_SQL: dict[str, str] = {}
