@@ -270,7 +270,7 @@ def gif_frames(media: DataFrame, id_col: str = "media_id", gif_col: str = "gif")
 def _encode_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         raw = [t.encode() for t in pdf["text"]]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(r) for r in raw], "gif": [encode(padded(r)) for r in raw]})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": [len(r) for r in raw], "gif": [encode(padded(r)) for r in raw]})
 
 
 FEATURES = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_frames int, hist array<bigint>"
@@ -287,7 +287,8 @@ def _describe_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 frames, shown = frames + 1, shown + f["delay_ms"]
             payload = b"".join(pixels)
             rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(gif), hashlib.sha256(gif).hexdigest(), f"frames={frames};ms={shown};hist={','.join(map(str, hist[[0, 21, 42, 63]]))}", frames, hist.tolist()))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")])
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")])
+        yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
 
 def texts_as_gifs(docs: DataFrame) -> DataFrame:

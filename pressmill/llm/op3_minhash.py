@@ -106,7 +106,7 @@ def _signatures(k: int):
 def _sets(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["doc_id"], "hashes": [shingle_hashes(t, k).view(np.int64) for t in pdf["text"]]})
+            yield pd.DataFrame({"id": pdf["doc_id"].astype("Int64"), "hashes": [shingle_hashes(t, k).view(np.int64) for t in pdf["text"]]})
 
     return run
 
