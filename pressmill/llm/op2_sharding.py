@@ -90,7 +90,12 @@ def minimax_cuts(known: list[int], atomic: set[int], shards: int, largest: int,
             wanted += [(known[k], known[k + 1]) for k in range(max(i, 0), min(j, len(known) - 1)) if known[k + 1] not in atomic]
         if not wanted:
             return high, cuts
+        wanted = sorted(set(wanted))
         more, single = finer(_merged(wanted))
+        # A share of many boundaries may be known already; fewer intervals give a finer share, one gives new ones.
+        while len(wanted) > 1 and more.issubset(known) and single.issubset(atomic):
+            wanted = wanted[: len(wanted) // 2]
+            more, single = finer(_merged(wanted))
         known = sorted({*known, *more})
         atomic = (atomic & set(known)) | single
 
