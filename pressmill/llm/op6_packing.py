@@ -55,7 +55,7 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         self.parts: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {"": b""}
         mark = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
@@ -75,6 +75,7 @@ class WordTokens:
             self.parts.clear()
         if len(self.cores) > CACHE_ENTRIES:
             self.cores.clear()
+            self.cores[""] = b""
         split = {}
         for part in missing:
             # Letters and one mark behind them are two pre-tokens; ASCII letters encode as their lower case does.
