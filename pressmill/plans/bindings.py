@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressmill.functions.shipping import ship
+
 
 class Tables:
     """Tables of a folder, read when first used."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        ship(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
