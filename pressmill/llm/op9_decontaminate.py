@@ -114,7 +114,8 @@ def _gram(sent):
                     at, weight = tf_idf(ids, idf)
                     total[at] += weight[:, None] * (weight @ basis[at])[None, :]
         rows = np.flatnonzero(total.any(axis=1))
-        yield pd.DataFrame({"word": rows, "row": list(total[rows])})
+        if len(rows):  # an empty column of lists has no Arrow type
+            yield pd.DataFrame({"word": rows, "row": list(total[rows])})
 
     return run
 

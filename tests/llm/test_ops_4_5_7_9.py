@@ -150,3 +150,5 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
     assert want <= got and len(got - want) == 0
     assert op9_decontaminate.contaminated(awkward(spark, []), benchmark).count() == 0
     assert op9_decontaminate.contaminated(awkward(spark, rows), benchmark.where("false")).count() == 0
+    spread = op9_decontaminate.contaminated(awkward(spark, rows), benchmark.repartition(70)).collect()  # with empty partitions
+    assert {(r.doc_id, r.item_id) for r in spread} == got
