@@ -110,3 +110,35 @@ def test_one_changed_word_in_a_long_line_is_found(spark):
         rows.append((2 * k + 1, " ".join(line)))
     removed = [r.doc_id for r in op10_lines.dedup_lines(awkward(spark, rows)).collect() if r.removed]
     assert len(removed) >= 34 and all(d % 2 for d in removed)
+
+
+def test_similar_lines_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(12)
+    lines = []
+    for n in [5, 6, 8, 9, 10, 12, 15, 20, 24, 27, 30, 57, 100] * 6:
+        line = [w.strip(",.") for w in prose(rng, n).split()]
+        lines.append(line)
+        for _ in range(2):  # edits up to the bound and one beyond, of all three kinds
+            other = list(line)
+            for k in range(rng.randint(1, n // 5 + 1)):
+                at = rng.randrange(len(other))
+                other[at : at + rng.choice([0, 1, 1])] = rng.choice([[], [f"q{rng.randrange(10**6)}"], [f"q{rng.randrange(10**6)}"]])
+            lines.append(other)
+    lines = [x for x in lines if len(x) >= 5]
+    rng.shuffle(lines)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+        return row[-1]
+
+    near = [(a, b) for a, b in combinations(range(len(lines)), 2) if abs(len(lines[a]) - len(lines[b])) <= max(len(lines[a]), len(lines[b])) // 5]
+    links = [(a, b) for a, b in near if distance(lines[a], lines[b]) <= max(len(lines[a]), len(lines[b])) // 5]
+    roots = _roots(range(len(lines)), links)
+    got = {r.doc_id for r in op10_lines.dedup_lines(awkward(spark, [(k, " ".join(x)) for k, x in enumerate(lines)])).collect() if r.removed}
+    assert len(links) > 100 and got == {k for k, r in roots.items() if k != r}
