@@ -55,6 +55,20 @@ def test_licenses(spark):
         assert op5_licenses.Scanner(op5_licenses.TEMPLATES).scan(text)[0] == name
 
 
+def test_short_wrapped_and_embedded_licenses(spark):
+    gpl = op5_licenses.TEMPLATES["gpl-3.0-header"].split()
+    wrapped = "\n".join("# " + " ".join(gpl[k : k + 7]) for k in range(0, len(gpl), 7))
+    rows = [
+        (1, "All rights reserved."), (2, f"some text\n{wrapped}\nmore text"), (3, "Copyright 2020 Foo. Licensed under the Apache License, Version 2.0."), (4, "// SPDX-License-Identifier: GPL-3.0-or-later"),
+        (5, "word " * 3000 + "Released under the MIT License. " + "word " * 3000), (6, "all rights\nreserved"), (7, "the free software of a public domain has no copyright here"), (8, "MIT License"),
+    ]
+    got = sorted((r.doc_id, r.block_no, r.template, r.exact, r.n_lines) for r in op5_licenses.scan_licenses(awkward(spark, rows)).collect())
+    assert got == [
+        (1, 0, "all-rights-reserved", True, 1), (2, 1, "gpl-3.0-header", True, len(wrapped.split("\n"))), (3, 0, "apache-2.0", True, 1), (4, 0, "spdx-gpl-3.0-or-later", True, 1),
+        (5, 0, "mit", True, 1), (6, 0, "all-rights-reserved", True, 2),
+    ]
+
+
 def _exact(page, active, unary, pair):
     """Marginals by summing over all labellings."""
     from itertools import product
