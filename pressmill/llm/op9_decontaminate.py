@@ -7,8 +7,8 @@
 3. Every text is cut into windows of 32 words every 16 and of 64 words every 32. Window vectors are projected and compared
    with all benchmark items, in blocks of items; pairs with a cosine of at least COSINE are candidates.
 4. A candidate is confirmed by the longest common subsequence of the item's words and the words around the window (at
-   least LCS of the item), and by its answer: ANSWER of the distinct words of the item's last sentence, each as rare as
-   the item's median word at least, must stand there too.
+   least LCS of the item). Below SURE of the item its answer must be told, too: ANSWER of the distinct words of the item's
+   last sentences (as many as have ANSWER_WORDS distinct words), each as rare as the item's median word at least.
 
 The benchmark is checked against MAX_ITEMS and MAX_WORDS before anything is broadcast. A larger one is dealt in slices of
 that size, each searched in a pass of its own.
@@ -32,7 +32,7 @@ from pressmill.llm.common import ship, table, text_or_empty, written
 
 RANK, OVERSAMPLE, POWER = 192, 16, 2
 CHUNK, SPANS = 16, (2, 4)  # windows of 2 and 4 chunks, every half window
-COSINE, LCS, ANSWER = 0.4, 0.6, 0.5
+COSINE, LCS, SURE, ANSWER, ANSWER_WORDS = 0.4, 0.6, 0.8, 0.5, 3
 MAX_ITEMS, MAX_WORDS, ITEM_BLOCK = 20_000, 400_000, 1024
 SEED = 11
 WORD = re.compile(r"\w+")
@@ -57,8 +57,13 @@ def lcs_length(a: list, b: list) -> int:
 
 
 def answer_words(text: str) -> set[str]:
-    parts = [p for p in re.split(r"[.!?\n]+", text) if WORD.search(p)]
-    return set(words(parts[-1])) if parts else set()
+    """Distinct words of the last sentence, with those before it while they are fewer than ANSWER_WORDS."""
+    found: set[str] = set()
+    for part in reversed(re.split(r"[.!?\n]+", text)):
+        if len(found) >= ANSWER_WORDS:
+            break
+        found |= set(words(part))
+    return found
 
 
 def _frequencies(vocabulary):
@@ -194,7 +199,7 @@ class Searcher:
                 continue
             answer = self.answers[k]
             told = len(answer.intersection(near)) / len(answer)
-            if told >= ANSWER and (k not in best or (share, likeness) > (best[k][2], best[k][1])):
+            if (share >= SURE or told >= ANSWER) and (k not in best or (share, likeness) > (best[k][2], best[k][1])):
                 best[k] = (item_id, likeness, share, told)
         return list(best.values())
 

@@ -166,3 +166,19 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
     assert op9_decontaminate.contaminated(awkward(spark, rows), benchmark.where("false")).count() == 0
     spread = op9_decontaminate.contaminated(awkward(spark, rows), benchmark.repartition(70)).collect()  # with empty partitions
     assert {(r.doc_id, r.item_id) for r in spread} == got
+
+
+def test_leaks_with_reworded_or_missing_answers(spark):
+    rng = random.Random(16)
+    items = [(k, f"{prose(rng, 40).replace('.', '')}. answer{k}.") for k in range(20)]
+    rows = []
+    for k, text in items:
+        own, around = text.split(), prose(rng, 300).split()
+        reworded = [w if rng.random() > 0.1 else f"other{j}" for j, w in enumerate(own[:-1])]
+        rows.append((2 * k, " ".join([*around[:90], *own[:-1], *around[90:]])))  # without its last sentence
+        rows.append((2 * k + 1, " ".join([*around[:90], *reworded, "changed", *around[90:]])))
+    want = {(2 * k, k) for k, _ in items} | {(2 * k + 1, k) for k, _ in items if op9_decontaminate.lcs_length(op9_decontaminate.words(items[k][1]), op9_decontaminate.words(rows[2 * k + 1][1])) >= 0.8 * len(op9_decontaminate.words(items[k][1]))}
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in op9_decontaminate.contaminated(awkward(spark, rows), benchmark).collect()}
+    assert len(want) > 30 and want <= got
+    assert op9_decontaminate.answer_words("a b c d. e f! \u00d1.") == {"e", "f", "\u00f1"}
