@@ -66,14 +66,14 @@ def test_near_duplicates_of_nothing(spark):
     assert [r.component_id for r in op3_minhash.near_duplicates(awkward(spark, [(3, None), (4, "")])).orderBy("doc_id").collect()] == [3, 4]
 
 
-def test_simhash_counts_bits(spark):
-    rows = spark.createDataFrame([("a", "x y z"), ("b", "x"), ("c", "x x y")], "key string, line string")
+def test_sketches_have_a_bit_for_every_word(spark):
     from pyspark.sql import functions as F
 
-    h = {r.w: r.h & (2**64 - 1) for r in spark.createDataFrame([("x",), ("y",), ("z",)], "w string").withColumn("h", F.xxhash64("w")).collect()}
-    got = {r.key: r.simhash & (2**64 - 1) for r in op10_lines.simhashes(rows, "key", "line").collect()}
-    vote = lambda ws: sum((sum(h[w] >> i & 1 for w in ws) * 2 > len(ws)) << i for i in range(64))
-    assert got == {"a": vote("xyz"), "b": vote("x"), "c": vote("xxy")}
+    rows = spark.createDataFrame([(1, "x y z"), (2, "x"), (3, "x x y")], "line_id bigint, line string")
+    h = {r.w: r.h & 511 for r in spark.createDataFrame([("x",), ("y",), ("z",)], "w string").withColumn("h", F.xxhash64("w")).collect()}
+    got = {r.line_id: (r.n_words, sum((r[b] & (2**64 - 1)) << 64 * k for k, b in enumerate(op10_lines.BITS))) for r in op10_lines.sketches(rows).collect()}
+    bits = lambda ws: sum(1 << h[w] for w in ws)
+    assert got == {1: (3, bits("xyz")), 2: (1, bits("x")), 3: (3, bits("xy"))}
 
 
 def test_lines(spark):
@@ -90,9 +90,9 @@ def test_lines(spark):
     got = {}
     for r in op10_lines.dedup_lines(awkward(spark, rows)).collect():
         got.setdefault(r.doc_id, []).append(r)
-    assert [list(r.removed) for r in got[1]] == [[], []] and got[2][0].removed == [0] and got[2][0].text.startswith("fresh") and got[2][0].text.endswith("short line")
+    assert [list(r.removed) for r in got[1]] == [[], []] and got[2][0].removed == [0, 2] and got[2][0].text.startswith("fresh")
     assert got[3][0].text is None and got[3][0].n_lines == 0 and got[4][0].text == "" and got[4][0].n_lines == 1
-    assert got[5][0].text == "" and got[5][0].removed == [0] and got[7][0].text == "short line" and got[None][0].text == other
+    assert got[5][0].text == "" and got[5][0].removed == [0] and got[7][0].text == "" and got[None][0].text == other
     assert got[6][0].removed in ([0, 2], [2]) and got[8][0].removed == [2] and got[8][0].text == "\n\n"
     assert got[1][0].id == "x" and got[1][0].worker == 4
     assert op10_lines.dedup_lines(awkward(spark, [])).count() == 0
@@ -109,7 +109,7 @@ def test_one_changed_word_in_a_long_line_is_found(spark):
         line[rng.randrange(90)] = "different"
         rows.append((2 * k + 1, " ".join(line)))
     removed = [r.doc_id for r in op10_lines.dedup_lines(awkward(spark, rows)).collect() if r.removed]
-    assert len(removed) >= 34 and all(d % 2 for d in removed)
+    assert len(removed) == 40 and all(d % 2 for d in removed)
 
 
 def test_similar_lines_equal_brute_force(spark):
@@ -117,7 +117,7 @@ def test_similar_lines_equal_brute_force(spark):
 
     rng = random.Random(12)
     lines = []
-    for n in [5, 6, 8, 9, 10, 12, 15, 20, 24, 27, 30, 57, 100] * 6:
+    for n in [1, 3, 4, 5, 6, 8, 9, 10, 12, 15, 20, 24, 27, 30, 57, 100] * 6:
         line = [w.strip(",.") for w in prose(rng, n).split()]
         lines.append(line)
         for _ in range(2):  # edits up to the bound and one beyond, of all three kinds
@@ -126,7 +126,7 @@ def test_similar_lines_equal_brute_force(spark):
                 at = rng.randrange(len(other))
                 other[at : at + rng.choice([0, 1, 1])] = rng.choice([[], [f"q{rng.randrange(10**6)}"], [f"q{rng.randrange(10**6)}"]])
             lines.append(other)
-    lines = [x for x in lines if len(x) >= 5]
+    lines = [x for x in lines if x]
     rng.shuffle(lines)
 
     def distance(a, b):
