@@ -2,9 +2,10 @@
 
 A piece of length r belongs to class m = capacity // r, so m pieces of its class fill one sequence. Documents are cut so
 that pieces come close to capacity / m from below (`cut_lengths`), which leaves at most TOLERANCE tokens of padding in a
-full sequence. The pieces of a class are dealt over workers and each worker fills its own sequences, m pieces to each,
-without knowing of the others. What remains of a class (fewer than m pieces a worker) is filled by class in a second
-round, and the last pieces of all classes, a number bounded by the capacity alone, are placed first-fit.
+full sequence. The pieces of a class are dealt over workers, about FILL sequences to each, and each worker fills its own
+sequences, m pieces to each, without knowing of the others. What remains of a class (fewer than m pieces a worker) is
+dealt again over fewer workers, until one is left. The last pieces of all classes, a number bounded by the capacity alone,
+are placed first-fit.
 
 Nulls, empties, ties: a null or empty text is its end token alone; rows repeated in full are packed as often as they
 come; a null id stays null; an empty table gives no pieces. Extra columns are dropped.
@@ -12,10 +13,12 @@ come; a null id stays null; an empty table gives no pieces. Extra columns are dr
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 import zlib
 from collections.abc import Iterator
-from unicodedata import is_normalized
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 
 from pressmill.llm.common import ship, table, text_or_empty, written
 
-CAPACITY, TOLERANCE, END_ID = 4096, 64, 2
-CACHE_ENTRIES = 400_000  # per Python worker; when full it starts anew
+CAPACITY, TOLERANCE, END_ID, FILL = 4096, 64, 2, 64
+CACHE_ENTRIES = 400_000  # per Python worker and generation: when full, the older of two generations goes
 
 
 def cut_lengths(total: int, capacity: int = CAPACITY, tolerance: int = TOLERANCE) -> list[int]:
@@ -40,63 +43,98 @@ def cut_lengths(total: int, capacity: int = CAPACITY, tolerance: int = TOLERANCE
     return out
 
 
-class WordTokens:
-    """Token ids of texts as little-endian bytes, with a bounded cache of what a piece of non-space text encodes to.
+# The parts of a tokeniser definition for which a text's ids are the ids of its space-parted words in order,
+# runs of letters are one pre-token, and ASCII stands for itself.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII but the apostrophe, which begins contractions
+
+
+def _byte_characters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for characters from 256 on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
 
-    The vocabulary's pre-tokeniser never joins across a space or line feed, so a text's ids are its parts' ids in order.
-    """
+def _by_words(definition: str) -> bool:
+    parts = json.loads(definition)
+    before = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        (parts["normalizer"] or {}).get("normalizers") == _NORMALIZER
+        and [x["type"] for x in before] == ["Split", "ByteLevel"]
+        and before[0]["pattern"] == {"Regex": _SPLIT}
+        and before[0]["invert"] and before[0]["behavior"] == "Removed" and not before[1]["add_prefix_space"] and not before[1]["use_regex"]
+        and parts["post_processor"] is None
+        and not any(" " in t["content"] or "\n" in t["content"] or t["lstrip"] or t["rstrip"] or t["content"].rstrip(_MARKS).isalpha() for t in parts["added_tokens"])
+    )
 
-    SEPARATOR = "\x01"
+
+class WordTokens:
+    """Token ids of texts as little-endian bytes, equal to the tokeniser's own.
+
+    Where its pre-tokeniser never joins across a space or line feed (`_by_words`), what a word encodes to is kept in a
+    bounded cache; Latin letters with or without marks behind them go to the model at once, any other word through the whole
+    tokeniser. With any other tokeniser every text goes through it whole."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
-        self.parts: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {"": b""}
-        mark = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
-
-    def _bulk(self, words: list[str]) -> list[bytes]:
-        if self.mark is None or any(self.SEPARATOR in w for w in words):
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        ids = np.array(self.tokenizer.encode(f" {self.SEPARATOR} ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
-        raw, at, out = ids.tobytes(), 0, []
-        for end in ends:
-            out.append(raw[4 * at : 4 * end])
-            at = end + 1
-        return out
+        self.by_words = _by_words(definition)
+        self.model = self.tokenizer.model
+        self.bytes = _byte_characters()
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _piece(self, pre_token: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(pre_token)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _latin(self, core: str) -> str | None:
+        """What the model is given for a run of Latin letters; None for anything that may not be one pre-token."""
+        if core.isascii():
+            return core.lower() if core.isalpha() else None
+        plain = self.tokenizer.normalizer.normalize_str(core)
+        return plain.encode().decode("latin-1").translate(self.bytes) if plain.isalpha() and max(plain) < "\u0250" else None
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, missing: set[str]) -> None:
-        if len(self.parts) > CACHE_ENTRIES:
-            self.parts.clear()
-        if len(self.cores) > CACHE_ENTRIES:
-            self.cores.clear()
-            self.cores[""] = b""
-        split = {}
-        for part in missing:
-            # Letters and one mark behind them are two pre-tokens; ASCII letters encode as their lower case does.
-            core, tail = (part[:-1], part[-1]) if len(part) > 1 and part[-1] in ",.;:!?" and part[:-1].isalpha() and is_normalized("NFC", part) else (part, "")
-            split[part] = (core.lower() if core.isascii() and core.isalpha() else core, tail)
-        unknown = list({x for pair in split.values() for x in pair if x and x not in self.cores})
-        for k in range(0, len(unknown), 2000):
-            self.cores.update(zip(unknown[k : k + 2000], self._bulk(unknown[k : k + 2000]), strict=True))
-        for part, (core, tail) in split.items():
-            self.parts[part] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
+        if len(self.words) > CACHE_ENTRIES:
+            self.older, self.words = self.words, {}
+        older, words, rest = self.older, self.words, []
+        for word in missing:
+            known = older.get(word)
+            if known is None:
+                core = word.rstrip(_MARKS)
+                letters = self._latin(core) if core else ""
+                if letters is None:
+                    rest.append(word)
+                    continue
+                known = (self._piece(letters) if core else b"") + (self._piece(word[len(core) :]) if len(core) < len(word) else b"")
+            words[word] = known
+        for k in range(0, len(rest), 2000):
+            words.update(zip(rest[k : k + 2000], self._whole(rest[k : k + 2000]), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        if not self.by_words:
+            yield from self._whole(texts)
+            return
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        parts = self.parts
-        missing = {w for s in split for w in s if w not in parts}
+        own: set[str] = set()
+        for s in split:
+            own.update(s)
+        missing = own.difference(self.words)
         if missing:
-            if len(parts) > CACHE_ENTRIES:
-                missing = {w for s in split for w in s}
+            if len(self.words) > CACHE_ENTRIES:
+                missing = own  # a new generation begins
             self._learn(missing)
+        find = self.words.__getitem__
         for s in split:
-            yield b"".join([self.parts[w] for w in s])
+            yield b"".join(map(find, s))
 
 
 _TOKENISERS: dict[int, WordTokens] = {}
@@ -171,28 +209,31 @@ def _first_fit(capacity: int):
     return run
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, workers: int | None = None) -> DataFrame:
-    """`cut` with sequence_id and offset. workers: how many fill sequences side by side; the shuffle partitions by default."""
-    spark = cut.sparkSession
-    workers = workers or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def pack(cut: DataFrame, capacity: int = CAPACITY, fill: int = FILL) -> DataFrame:
+    """`cut` with sequence_id and offset. fill: about how many sequences a worker fills."""
     names = cut.columns
-    m = F.expr(f"{capacity} div length")
-    dealt = cut.withColumn("m", m).withColumn("worker", F.pmod(F.xxhash64("doc_id", "start"), F.greatest(F.lit(1), F.expr(f"{4 * workers} div m"))))
-    own = Window.partitionBy("m", "worker")
-    dealt = dealt.withColumns({"k": F.row_number().over(own.orderBy("doc_id", "start")) - 1, "n": F.count("*").over(own)}).withColumn("bin", F.expr("k div m"))
-    within = lambda *key: F.sum("length").over(Window.partitionBy(*key).orderBy("doc_id", "start", "k").rowsBetween(Window.unboundedPreceding, -1))
-    placed = written(dealt.withColumn("offset", F.coalesce(within("m", "worker", "bin"), F.lit(0))), "packed")
-    whole = F.col("k") < F.col("n") - F.col("n") % F.col("m")
-    # 12 bits of class, 20 of worker, 31 of sequence: unique without any count over all workers.
-    full = placed.where(whole).select(*names, (F.shiftleft("m", 50) + F.shiftleft("worker", 31) + F.col("bin")).alias("sequence_id"), "offset")
-
-    by_class = Window.partitionBy("m")
-    rest = placed.where(~whole).select(*names, "m").withColumns({"k": F.row_number().over(by_class.orderBy("doc_id", "start")) - 1, "n": F.count("*").over(by_class)}).withColumn("bin", F.expr("k div m"))
-    rest = rest.withColumn("offset", F.coalesce(within("m", "bin"), F.lit(0)))
-    second = rest.where(whole).select(*names, (F.shiftleft("m", 50) + F.shiftleft(F.lit((1 << 19) - 1).cast("long"), 31) + F.col("bin")).alias("sequence_id"), "offset")
+    # The row's own number spreads rows whose id and place are the same, or null, over workers.
+    rest = written(cut.withColumns({"m": F.expr(f"{capacity} div length"), "row": F.monotonically_increasing_id()}), "pieces")
+    order, placed, level = ["doc_id", "start", "row"], [], 0
+    while True:
+        counts = {r.m: r.n for r in rest.groupBy("m").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+        workers = {m: n // (fill * m) for m, n in counts.items() if n >= 2 * fill * m}
+        of_class = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in workers.items() for x in pair]), F.col("m")), F.lit(1)) if workers else F.lit(1)
+        dealt = rest.withColumn("worker", F.pmod(F.xxhash64("doc_id", "start", "row", F.lit(level)), of_class).cast("long"))
+        own = Window.partitionBy("m", "worker")
+        dealt = dealt.withColumns({"k": F.row_number().over(own.orderBy(*order)) - 1, "n": F.count("*").over(own)}).withColumn("bin", F.expr("k div m"))
+        before = F.sum("length").over(Window.partitionBy("m", "worker", "bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        dealt = written(dealt.withColumn("offset", F.coalesce(before, F.lit(0))), "packed")
+        whole = F.col("k") < F.col("n") - F.col("n") % F.col("m")
+        # 13 bits of class, 3 of level, 34 of worker, 12 of its sequence: unique without any count over all workers.
+        number = F.shiftleft("m", 49) + F.lit(level << 46) + F.shiftleft("worker", 12) + F.col("bin")
+        placed.append(dealt.where(whole).select(*names, number.alias("sequence_id"), "offset"))
+        rest, level = dealt.where(~whole).select(*names, "m", "row"), level + 1
+        if not workers:
+            break
     # Fewer than m pieces of each class m are left: about capacity * (ln tolerance + 1) rows at most, whatever the corpus.
-    last = rest.where(~whole).select(*names, F.lit(0).alias("one")).groupBy("one").applyInPandas(_first_fit(capacity), cut.schema.add("sequence_id", "long").add("offset", "long"))
-    return full.unionByName(second).unionByName(last)
+    placed.append(rest.select(*names, F.lit(0).alias("one")).groupBy("one").applyInPandas(_first_fit(capacity), cut.schema.add("sequence_id", "long").add("offset", "long")))
+    return reduce(DataFrame.unionByName, placed)
 
 
 def query(spark, sf_dir):

@@ -130,7 +130,7 @@ def test_packing_contract(spark):
 
     plain = Tokenizer.from_file(op6_packing.default_tokenizer())
     rows = awkward_texts()
-    got = op6_packing.pack(op6_packing.pieces(awkward(spark, rows), with_ids=True), workers=3).collect()
+    got = op6_packing.pack(op6_packing.pieces(awkward(spark, rows), with_ids=True), fill=1).collect()
     sequences = {}
     for r in got:
         sequences.setdefault(r.sequence_id, []).append(r)
@@ -178,3 +178,41 @@ def test_frames_decompress_with_a_plain_reader(spark):
     assert len(frames) > 1
     whole = b"".join(zstandard.ZstdDecompressor().decompress(bytes(b.data)[s : s + c], max_output_size=d) for s, c, d in frames)
     assert whole.count(b"WARC/1.1\r\n") == 9
+
+
+def test_token_ids_are_the_tokenisers_own():
+    """Added tokens, letters whose lower case is no letter, marks, digits, white space of all kinds, other scripts."""
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    definition = open(op6_packing.default_tokenizer(), encoding="utf-8").read()
+    own, whole = op6_packing.WordTokens(definition), Tokenizer.from_str(definition)
+    rng = random.Random(3)
+    letters = "aZ é'ßİ.́²1_<|>\n\t漢-,ÀſĿ"
+    texts = ["<|startoftext|> a<|endoftext|>b <|endoftext|>", "İ. İ x", "a\tb c", "it's 's' don't, x'", "²³ 12.5 a1b2", "ǅ ß ẞ ΑΣ ΑΣ.", "é ́a", "\x00\x01 \x1f", "漢字。 かな", "...!!! ,", "", " ", "\n\n", "a_b _ __a", "A" * 500]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    assert own.by_words
+    for t, got in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_another_tokeniser_is_used_whole():
+    import json
+
+    definition = json.loads(open(op6_packing.default_tokenizer(), encoding="utf-8").read())
+    definition["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": "[^x]+|x"}
+    assert not op6_packing.WordTokens(json.dumps(definition)).by_words
+
+
+def test_packing_of_many_equal_small_pieces(spark):
+    """A class with far more pieces than a worker takes goes through several rounds; nothing overlaps or gets lost."""
+    from pyspark.sql import functions as F
+
+    n = 60_000
+    cut = spark.range(n).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("start"), F.when(F.col("id") % 3 == 0, 1).otherwise(300).cast("bigint").alias("length"))
+    got = op6_packing.pack(cut, fill=2).groupBy("sequence_id").agg(F.sum("length").alias("used"), F.count("*").alias("n"), F.count_distinct("offset").alias("places"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    rows = got.collect()
+    assert sum(r.n for r in rows) == n and all(r.n == r.places and r.used == r.end <= 4096 for r in rows)
+    assert len(rows) <= 1.02 * (20_000 / 4096 + 40_000 / 13) + 2
