@@ -4,14 +4,15 @@
    passage frequency.
 2. A distributed randomised SVD of the benchmark's TF-IDF matrix (range finder with power iterations; every product with
    the matrix is a sum over partitions) gives a latent space of at most RANK dimensions.
-3. Every text is cut into windows of 32 words every 16 and of 64 words every 32. Window vectors are projected and compared
-   with all benchmark items, in blocks of items; pairs with a cosine of at least COSINE are candidates.
+3. Every text is cut into windows of 16, 32, 64 and 256 words, every half window; those of each width are compared with
+   the items of a fitting length (SPANS), so that a short item is not diluted. Window vectors are projected and compared in
+   blocks of items; pairs with a cosine of at least COSINE are candidates.
 4. A candidate is confirmed by the longest common subsequence of the item's words and the words around the window (at
    least LCS of the item). Below SURE of the item its answer must be told, too: ANSWER of the distinct words of the item's
    last sentences (as many as have ANSWER_WORDS distinct words), each as rare as the item's median word at least.
 
-The benchmark is checked against MAX_ITEMS and MAX_WORDS before anything is broadcast. A larger one is dealt in slices of
-that size, each searched in a pass of its own.
+The benchmark is dealt in slices of about MAX_ITEMS items and MAX_WORDS words at most, each of which is broadcast and
+searched in a pass of its own.
 
 Nulls, empties, ties: null and empty texts and items match nothing; repeated rows of documents give repeated results
 merged to one row by (doc_id, item_id); a null id of either is kept as null; with an empty table the result is empty. A
@@ -21,6 +22,7 @@ match that several windows show is reported once with its best figures. Extra co
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +33,10 @@ from pyspark.sql import functions as F
 from pressmill.llm.common import ship, table, text_or_empty, written
 
 RANK, OVERSAMPLE, POWER = 192, 16, 2
-CHUNK, SPANS = 16, (2, 4)  # windows of 2 and 4 chunks, every half window
+PASSAGE, CHUNK = 32, 8
+SPANS = ((2, 0, 12), (4, 8, 48), (8, 24, 192), (32, 96, 1 << 40))  # windows of so many chunks for items of so many words
 COSINE, LCS, SURE, ANSWER, ANSWER_WORDS = 0.4, 0.6, 0.8, 0.5, 3
-MAX_ITEMS, MAX_WORDS, ITEM_BLOCK = 20_000, 400_000, 1024
+MAX_ITEMS, MAX_WORDS, ITEM_BLOCK = 20_000, 100_000, 1024
 SEED = 11
 WORD = re.compile(r"\w+")
 
@@ -75,7 +78,7 @@ def _frequencies(vocabulary):
             for text in pdf["text"]:
                 ids = np.array([get(w, -1) for w in words(text)], np.int64)
                 if len(ids):
-                    passage = np.arange(len(ids)) // (2 * CHUNK)
+                    passage = np.arange(len(ids)) // PASSAGE
                     known = ids >= 0
                     pairs = np.unique(passage[known] * len(at) + ids[known])
                     counts += np.bincount(pairs % len(at), minlength=len(at))
@@ -88,7 +91,7 @@ def _frequencies(vocabulary):
 
 def passage_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
     """How many passages of 32 words have each vocabulary word, and how many passages there are. The result is as long as the vocabulary."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # MAX_WORDS at most
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # about MAX_WORDS at most
     rows = docs.select(text_or_empty("text").alias("text")).mapInPandas(_frequencies(sent), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(len(vocabulary))
     total = 0
@@ -162,24 +165,26 @@ class Searcher:
         self.answers = [{w for w in answer if idf[vocabulary[w]] >= median[k]} or answer for k, (_, _, answer) in enumerate(self.items)]
         latent = np.stack([self.project[[vocabulary[w] for w in own]].sum(axis=0) for _, own, _ in self.items]) if self.items else np.zeros((0, basis.shape[1]), np.float32)
         self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        self.ids = [[vocabulary[w] for w in own] for _, own, _ in self.items]
+        self.counts = [Counter(own) for own in self.ids]
+        sizes = np.array([len(own) for own in self.ids], np.int64)
+        fitting = [(span, np.flatnonzero((sizes >= least) & (sizes <= most))) for span, least, most in SPANS]
+        self.fitting = [(span, at, self.latent[at]) for span, at in fitting if len(at)]
 
-    def windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unit latent vectors of all windows with their first and last word."""
+    def candidates(self, ids: np.ndarray, cosine: float) -> Iterator[tuple[int, int, int, float]]:
+        """(item, first and last word of the window, likeness)."""
         n_chunks = -(-len(ids) // CHUNK)
         chunks = np.add.reduceat(self.project[ids], np.arange(0, len(ids), CHUNK), axis=0)
         upto = np.vstack([np.zeros((1, chunks.shape[1]), np.float64), np.cumsum(chunks, axis=0, dtype=np.float64)])
-        first = [np.arange(0, max(1, n_chunks - span // 2), span // 2) for span in SPANS]
-        last = [np.minimum(f + span, n_chunks) for f, span in zip(first, SPANS, strict=True)]
-        first, last = np.concatenate(first), np.concatenate(last)
-        vectors = (upto[last] - upto[first]).astype(np.float32)
-        return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9), first * CHUNK, np.minimum(last * CHUNK, len(ids))
-
-    def candidates(self, ids: np.ndarray, cosine: float) -> Iterator[tuple[int, int, int, float]]:
-        vectors, first, last = self.windows(ids)
-        for at in range(0, len(self.items), ITEM_BLOCK):
-            likeness = vectors @ self.latent[at : at + ITEM_BLOCK].T
-            for w, k in zip(*np.nonzero(likeness >= cosine), strict=True):
-                yield at + int(k), int(first[w]), int(last[w]), float(likeness[w, k])
+        for span, items, latent in self.fitting:
+            first = np.arange(0, max(1, n_chunks - span // 2), span // 2)
+            last = np.minimum(first + span, n_chunks)
+            vectors = (upto[last] - upto[first]).astype(np.float32)
+            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+            for at in range(0, len(items), ITEM_BLOCK):
+                likeness = vectors @ latent[at : at + ITEM_BLOCK].T
+                near, which = np.nonzero(likeness >= cosine)
+                yield from zip(items[at + which].tolist(), (first[near] * CHUNK).tolist(), np.minimum(last[near] * CHUNK, len(ids)).tolist(), likeness[near, which].tolist(), strict=True)
 
     def search(self, text: str) -> list[tuple]:
         """(item id, cosine, LCS share, answer share) of every confirmed item."""
@@ -189,14 +194,21 @@ class Searcher:
         get = self.get
         ids = np.array([get(w, -1) for w in own], np.int64)
         best: dict[int, tuple] = {}
+        known = ids.tolist()
         for k, first, last, likeness in self.candidates(ids, COSINE):
             item_id, item, _ = self.items[k]
             if k in best and best[k][2] >= 1:
                 continue
-            near = own[max(0, first - len(item)) : last + len(item)]
-            share = lcs_length(item, near) / len(item)
+            counts, n = self.counts[k], len(item)
+            a, b = max(0, first - n), last + n
+            # A common subsequence has words of both; too few of them settle the matter, and other words do not change it.
+            both = list(filter(counts.__contains__, known[a:b]))
+            if len(both) < LCS * n or sum(map(counts.__getitem__, set(both))) < LCS * n:
+                continue
+            share = lcs_length(self.ids[k], both) / n
             if share < LCS:
                 continue
+            near = own[a:b]
             answer = self.answers[k]
             told = len(answer.intersection(near)) / len(answer)
             if (share >= SURE or told >= ANSWER) and (k not in best or (share, likeness) > (best[k][2], best[k][1])):
@@ -225,7 +237,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ship(spark)
     items = benchmark.where("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
-    slices = -(-items.count() // MAX_ITEMS) or 1
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(F.split("text", r"\W+"))), F.lit(0)).alias("words")).first()
+    slices = max(1, -(-size.n // MAX_ITEMS), -(-size.words // MAX_WORDS))
     found = None
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k) if slices > 1 else items
@@ -234,8 +247,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for _, text in held:
             for w in words(text):
                 vocabulary.setdefault(w, len(vocabulary))
-        if len(vocabulary) > MAX_WORDS:
-            raise ValueError(f"{len(vocabulary)} words in {len(held)} benchmark items; the bound is {MAX_WORDS}: lower MAX_ITEMS")
         if not vocabulary:
             continue
         counts, passages = passage_frequencies(docs, vocabulary)
