@@ -7,10 +7,14 @@ exact marginal; text of blocks whose marginal is above one half is kept, in page
 
 Weights are trained by maximum likelihood (the gradient is observed minus expected features, the latter from the same
 messages) on labelled pages: a built-in set made from layout rules with every block labelled, and a bounded sample of
-the given pages (PAGES_FITTED by hash of the id) whose markup labels itself with exactly one article or main element.
+the given pages whose markup labels itself with exactly one article or main element: at most PAGES_FITTED pages of at
+most CHARS_FITTED characters among the CANDIDATES first ids by hash. Extraction itself reads every page whole.
 
 Inline elements, line breaks included, belong to the block around them. Inside a block white space becomes one space;
-blocks are joined by one line feed. Nothing else is dropped or capped.
+blocks are joined by one line feed. Nothing else is dropped or capped. Markup is read in time linear in the page.
+
+Scripts and styles reach to their end tag or, without one, to the end of the page. Of the other elements in HIDDEN that
+have no end tag of their own (self-closing, unclosed, or opened again before it) only the tag is left out.
 
 Nulls, empties, ties: null or empty html gives an empty text; unclosed, misnested and truncated markup is read as far as
 it goes; repeated rows give repeated results; an empty table gives an empty result. Extra columns are dropped.
@@ -22,6 +26,7 @@ import html as htmllib
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 
 from pressmill.llm.common import ship, table, text_or_empty
 
-PAGES_FITTED, LAYOUTS, ROUNDS, RATE, DECAY = 150, 150, 120, 0.15, 1e-3
+PAGES_FITTED, CANDIDATES, CHARS_FITTED, LAYOUTS, ROUNDS, RATE, DECAY = 150, 3000, 100_000, 150, 120, 0.15, 1e-3
 
 # Element names of the HTML standard by the part they play here.
 KINDS = {
@@ -45,7 +50,8 @@ KINDS = {
     "div": "div", "section": "div", "center": "div", "details": "div", "summary": "div", "figure": "div", "hr": "div", "title": "head",
     "html": "root", "body": "root", "head": "head",
 }
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "button", "option", "object", "canvas", "audio", "video", "math"}
+RAW = {"script", "style"}
+HIDDEN = RAW | {"textarea", "title", "noscript", "template", "iframe", "svg", "select", "button", "option", "object", "canvas", "audio", "video", "math"}
 NEVER = {"head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CLOSES_P = {k for k, v in KINDS.items() if v not in ("root", "head", "item")} | {"li", "dt", "dd"}
@@ -53,7 +59,9 @@ SELF_CLOSING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"
 GOOD_WORDS = re.compile(r"article|content|post|story|entry|main|body|text")
 BAD_WORDS = re.compile(r"\bads?\b|advert|sponsor|promo|banner|nav|menu|sidebar|side-bar|widget|comment|reply|disqus|footer|header|masthead|cookie|consent|notice|popup|modal|newsletter|subscribe|signup|login|share|social|related|recommend|breadcrumb|pagination|pager|toolbar|legal|copyright|tags\b")
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/<>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
+_OWN_TAGS = {name: re.compile(rf"<(/?){name}(?=[\s/>])", re.I) for name in HIDDEN}
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -63,6 +71,67 @@ PAIR_KINDS = sorted(set(KINDS.values()))
 _PAIR_AT = {n: k for k, n in enumerate(PAIR_KINDS)}
 
 
+class Markup:
+    """A page's tags and comments in order. What one search finds missing is not searched for again, so reading is linear."""
+
+    def __init__(self, html: str):
+        self.html, self.last_end = html, html.rfind(">")
+        self.absent: set[str] = set()
+        self.open_ended: set[int] = set()  # places outside quotes from which no tag ends
+
+    def _find(self, what: str, at: int) -> int:
+        found = -1 if what in self.absent else self.html.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def _tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag, quoted ones left out; -1 if there is none."""
+        html, seen = self.html, []
+        while at < self.last_end + 1 and at not in self.open_ended:
+            seen.append(at)
+            at = _PLAIN.match(html, at).end()
+            if at < len(html) and html[at] == ">":
+                return at
+            at = self._find(html[at], at + 1) + 1 if at < len(html) else 0
+            if not at:
+                break
+        self.open_ended.update(seen)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(first, behind, name, closing, attributes) of the next tag or comment, the latter without a name."""
+        html = self.html
+        while (first := html.find("<", at)) >= 0:
+            if html.startswith("<!--", first):
+                end = self._find("-->", first + 4)
+                return first, end + 3 if end >= 0 else len(html), "", False, ""
+            if first > self.last_end:
+                return None
+            if html[first + 1] in "!?":
+                return first, html.find(">", first) + 1, "", False, ""
+            m = _NAME.match(html, first)
+            end = self._tag_end(m.end()) if m else -1
+            if end >= 0:
+                return first, end + 1, m[1].lower(), html[first + 1] == "/", html[m.end() : end]
+            at = first + 1
+        return None
+
+    def hidden_end(self, name: str, at: int) -> int:
+        """Where the text hidden by an element ends; `at` itself if the element hides none."""
+        html = self.html
+        if "/" + name in self.absent:
+            return len(html) if name in RAW else at
+        m = _OWN_TAGS[name].search(html, at)
+        while m and name in RAW and not m[1]:
+            m = _OWN_TAGS[name].search(html, m.end())
+        if m is None:
+            self.absent.add("/" + name)
+            return len(html) if name in RAW else at
+        end = self._find(">", m.end()) if m[1] else -1
+        return end + 1 if end >= 0 else at
+
+
 class Page:
     """Blocks in page order (a parent before its children): parent, kind, hint words, and runs of text with their block."""
 
@@ -76,6 +145,13 @@ class Page:
         stack, in_link, at, size = [0], 0, 0, len(html)
         piece: list[str] = []
         links = 0
+        markup = Markup(html)
+
+        opened: Counter = Counter()  # of the tags on the stack, so that an end tag of nothing open costs no walk
+
+        def leave(depth: int) -> None:
+            opened.subtract(self.tag[k] for k in stack[depth:])
+            del stack[depth:]
 
         def flush() -> None:
             nonlocal links
@@ -88,58 +164,58 @@ class Page:
             links = 0
 
         while at < size:
-            m = _MARKUP.search(html, at)
-            if m is None:
+            found = markup.next(at)
+            if found is None:
                 piece.append(html[at:])
                 break
-            if m.start() > at:
-                piece.append(html[at : m.start()])
+            start, behind, name, closing, attributes = found
+            if start > at:
+                piece.append(html[at:start])
                 if in_link:
-                    links += m.start() - at
-            at = m.end()
-            name = (m[2] or "").lower()
+                    links += start - at
+            at = behind
             if not name:
                 continue
-            if name in RAW and not m[1]:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-                at = end.end() if end else size
+            if name in HIDDEN and not closing:
+                if not attributes.endswith("/") or name in RAW:
+                    at = markup.hidden_end(name, at)
                 if name == "button" or name == "select":
                     piece.append(" ")
                 continue
             if name == "a":
-                in_link = 0 if m[1] else 1
+                in_link = 0 if closing else 1
             if name == "br":
                 piece.append(" ")
             if name not in KINDS:
                 continue
             flush()
-            if m[1]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] == name:
-                        del stack[depth:]
-                        break
+            if closing:
+                if opened[name] > 0:
+                    leave(next(d for d in range(len(stack) - 1, 0, -1) if self.tag[stack[d]] == name))
                 continue
             in_link = 0
             if name in CLOSES_P and len(stack) > 1 and self.tag[stack[-1]] == "p":
-                stack.pop()
+                leave(len(stack) - 1)
             if name in SELF_CLOSING:
                 ends, stops = SELF_CLOSING[name]
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] in stops:
-                        break
-                    if self.tag[stack[depth]] in ends:
-                        del stack[depth:]
-                        break
-            if name == "html" or name == "body" and "body" in (self.tag[s] for s in stack):
+                if any(opened[x] > 0 for x in ends):
+                    for depth in range(len(stack) - 1, 0, -1):
+                        if self.tag[stack[depth]] in stops:
+                            break
+                        if self.tag[stack[depth]] in ends:
+                            leave(depth)
+                            break
+            if name == "html" or name == "body" and opened["body"] > 0:
                 continue
             if name == "body":
-                del stack[1:]
+                leave(1)
             self.parent.append(stack[-1])
             self.tag.append(name)
-            self.hints.append(" ".join("".join(h) for h in _HINT.findall(m[3])).lower() if m[3] else "")
+            self.hints.append(" ".join("".join(h) for h in _HINT.findall(attributes)).lower() if attributes else "")
             self.linked.append(0)
-            if name not in VOID and not m[3].endswith("/"):
+            if name not in VOID and not attributes.endswith("/"):
                 stack.append(len(self.tag) - 1)
+                opened[name] += 1
         flush()
 
     def unary(self) -> list[list[int]]:
@@ -288,9 +364,11 @@ def fitted(pages: DataFrame | None = None, n_pages: int = PAGES_FITTED) -> tuple
     """Weights from the built-in layouts and a bounded sample of self-labelled pages."""
     labelled = [(layout_page(k), _marked_label) for k in range(LAYOUTS)]
     if pages is not None:
-        lower = F.lower(F.col("html"))
-        marks = F.size(F.split(lower, "<article|<main", -1)) - 1
-        rows = pages.where(F.col("html").isNotNull() & (F.length("html") < 100_000)).select("page_id", "html", marks.alias("marks")).where("marks = 1").orderBy(F.xxhash64("page_id"), "page_id").limit(n_pages).collect()
+        # Ids first, so that pages outside the sample are neither lowered nor split; CANDIDATES bounds the broadcast.
+        ids = pages.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(CANDIDATES)
+        near = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").where(F.length("html") <= CHARS_FITTED)
+        marks = F.size(F.split(F.lower("html"), "<article|<main", -1)) - 1
+        rows = near.select("page_id", "html", marks.alias("marks")).where("marks = 1").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(n_pages).collect()
         labelled += [(r.html, _landmark_label) for r in rows]
     return train(labelled)
 

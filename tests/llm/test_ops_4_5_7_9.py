@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from pressmill.llm import op4_toxicity, op5_licenses, op7_html, op9_decontaminate
 from tests.llm.util import awkward, prose
@@ -182,3 +183,57 @@ def test_leaks_with_reworded_or_missing_answers(spark):
     got = {(r.doc_id, r.item_id) for r in op9_decontaminate.contaminated(awkward(spark, rows), benchmark).collect()}
     assert len(want) > 30 and want <= got
     assert op9_decontaminate.answer_words("a b c d. e f! \u00d1.") == {"e", "f", "\u00f1"}
+
+
+def test_markup_is_read_in_linear_time_and_loses_no_text():
+    import time
+
+    for html in ("<a" * 500_000, '<a "' * 250_000, "<a '\"" * 200_000, "<!" * 500_000, "<svg>" * 200_000, "<option>a" * 100_000, "</a" * 300_000, "<script>" * 100_000, "<div>" * 100_000 + "</p>" * 100_000):
+        t = time.time()
+        op7_html.Page(html)
+        assert time.time() - t < 15, html[:20]
+    text = lambda html: [t for _, t in op7_html.Page(html).runs]
+    assert text("<article><p>a<svg width='1'/> b</p><p>c</p></article>") == ["a b", "c"]
+    assert text("<article><p>a <video> b</p><p>c</p></article>") == ["a b", "c"]
+    assert text("<article><p>a<option>x</p><p>c</p></article>") == ["ax", "c"]
+    assert text("<p>a<svg><text>no</text></svg>b</p><p>a < b <3</p><script>x") == ["ab", "a < b <3"]
+    assert text('<p title="1 > 0" class=\'x"y\'>kept</p>') == ["kept"]
+
+
+@pytest.mark.parametrize(("least", "most"), [(5, 8), (9, 14), (20, 50), (120, 200)])
+def test_recall_of_reworded_items_by_length(least, most):
+    """Every planted item that meets the LCS and answer rules should be a candidate, whatever its length."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(least)
+    pool = [prose(rng, 700).replace(",", "").replace(".", "").split() for _ in range(40)]
+    items = []
+    for k in range(80):
+        w = rng.choice(pool)
+        n = rng.randint(least, most)
+        at = rng.randrange(len(w) - n)
+        items.append((k, " ".join(f"{x}{rng.randrange(30)}" for x in w[at : at + n])))
+    vocabulary = {}
+    for _, t in items:
+        for w in op9_decontaminate.words(t):
+            vocabulary.setdefault(w, len(vocabulary))
+    idf = np.full(len(vocabulary), 3.0)
+    a = np.zeros((len(items), len(vocabulary)))
+    for k, t in items:
+        at, weight = op9_decontaminate.tf_idf(np.array([vocabulary[w] for w in op9_decontaminate.words(t)]), idf)
+        a[k, at] = weight
+    basis = np.linalg.svd(a, full_matrices=False)[2][: op9_decontaminate.RANK].T.astype(np.float32)
+    s = op9_decontaminate.Searcher(vocabulary, idf, basis, items)
+    found = wanted = 0
+    for k, t in items:
+        w = t.split()
+        for share in (0.0, 0.1, 0.2, 0.3):
+            v = [x if rng.random() >= share else "else" for x in w]
+            lcs, told = op9_decontaminate.lcs_length(w, v) / len(w), len(s.answers[k] & set(v)) / len(s.answers[k])
+            if lcs >= op9_decontaminate.SURE or lcs >= op9_decontaminate.LCS and told >= op9_decontaminate.ANSWER:
+                host = rng.choice(pool)
+                wanted += 1
+                found += any(h[0] == k for h in s.search(" ".join(host[:150] + v + host[150:300])))
+    assert wanted > 150 and found >= 0.95 * wanted
