@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressmill.functions import scalars as S
@@ -75,17 +75,24 @@ def group_stories(articles: DataFrame, window: timedelta = STORY_WINDOW) -> Data
     articles (article_id string, story_key, domain, url, published_at, arrival). A URL counts once, at its first arrival.
     An article joins the earliest story of its key within the window of that story's first article, unless its domain is
     there with another page; else it starts a story. Stories never cross keys, so keys are independent. A key whose rows
-    all fall within the window and have a domain each is decided without leaving the JVM: it is one story."""
+    all fall within the window and have a domain each is decided without leaving the JVM: it is one story.
+    Rows further apart than the window never meet, so a key falls apart at gaps in time; a null key is a story of its own."""
     rows = first_by(articles, "article_id", ["arrival"]).withColumn("signature", S.page_signature(F.col("url")))
+    own = rows.where("story_key is null").select("article_id", F.col("article_id").alias("story_id"), F.lit("canonical").alias("outcome"))
+    span = F.expr(f"interval '{int(window.total_seconds())}' second")
+    rows = rows.where("story_key is not null")
     facts = rows.groupBy("story_key").agg(
         F.count("*").alias("n"), F.count_distinct("domain").alias("n_domains"), F.min(F.struct("arrival", "article_id"))["article_id"].alias("head"),
         F.min("published_at").alias("lo"), F.max("published_at").alias("hi"),
     )
     rows = rows.join(facts, "story_key")
-    simple = (F.col("n") == F.col("n_domains")) & (F.col("hi") - F.col("lo") <= F.expr(f"interval '{int(window.total_seconds())}' second"))
+    simple = (F.col("n") == F.col("n_domains")) & (F.col("hi") - F.col("lo") <= span)
     easy = rows.where(simple).select("article_id", F.col("head").alias("story_id"), F.when(F.col("article_id") == F.col("head"), "canonical").otherwise("grouped").alias("outcome"))
-    hard = rows.where(~simple).select("story_key", "article_id", "domain", "signature", "published_at", "arrival").groupBy("story_key").applyInPandas(_assign(window), _STORY)
-    return easy.unionByName(hard)
+    by_time = Window.partitionBy("story_key").orderBy("published_at", "article_id")
+    gap = F.coalesce((F.col("published_at") - F.lag("published_at").over(by_time) > span).cast("int"), F.lit(0))
+    hard = rows.where(~simple).select("story_key", "article_id", "domain", "signature", "published_at", "arrival").withColumn("gap", gap)
+    hard = hard.withColumn("island", F.sum("gap").over(by_time.rowsBetween(Window.unboundedPreceding, 0))).drop("gap")
+    return easy.unionByName(hard.groupBy("story_key", "island").applyInPandas(_assign(window), _STORY)).unionByName(own)
 
 
 def batch_counters(outcomes: DataFrame, total: DataFrame, dead: DataFrame) -> DataFrame:

@@ -62,6 +62,24 @@ def eligible(queue: DataFrame, now: datetime, keep: timedelta, limit: int) -> Da
     return queue.where((F.col("status") == "pending") & (F.col("next_attempt_at") <= moment) & (F.col("created_at") >= F.lit(now - keep).cast("timestamp_ntz"))).orderBy(F.desc("seq")).limit(limit)
 
 
+def queued_pages(queue: DataFrame, articles: DataFrame, now: datetime, keep: timedelta, limit: int, key: str = "url_hash") -> DataFrame:
+    """Due work with the URL of its article, newest first. Only work whose article is still there counts for the limit."""
+    return eligible(queue.join(articles.select(key, "url"), key), now, keep, limit)
+
+
+def embed_round(titles: DataFrame, passages: DataFrame, skip: DataFrame, model: str, batch: int) -> DataFrame:
+    """(kind, key, text) of one round: the newest titles without a vector of `model`, then the newest passages.
+
+    titles and passages (key, seq, text, embedding_model); skip (key). A vector of another model counts as none, as it is
+    cleared first. Each kind has a batch of its own, so titles come first and passages never starve."""
+
+    def next_batch(rows: DataFrame, kind: str) -> DataFrame:
+        open_ = rows.where(~F.col("embedding_model").eqNullSafe(F.lit(model))).join(skip.select("key"), "key", "left_anti")
+        return open_.orderBy(F.desc("seq"), "key").limit(batch).select(F.lit(kind).alias("kind"), "key", "text")
+
+    return next_batch(titles, "title").unionByName(next_batch(passages, "passage"))
+
+
 def one_per_host(ready: DataFrame, busy: DataFrame, last_fetch: DataFrame, now: datetime, limit: int) -> DataFrame:
     """The newest ready row of every host that is not being fetched and whose delay has passed.
 

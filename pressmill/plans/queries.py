@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pressmill.functions import scalars as S
@@ -262,10 +263,11 @@ def unembedded_passages(t):
 @query("""SELECT a.event_id AS id, count(*) AS candidates FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id <> b.event_id
   AND b.ts BETWEEN a.ts - INTERVAL 48 HOUR AND a.ts + INTERVAL 48 HOUR GROUP BY 1""")
 def story_candidates(t):
-    a = t.events.selectExpr("event_id AS id", "user_id", "event_type", "ts AS at")
-    b = t.events.selectExpr("event_id AS other", "user_id", "event_type", "ts")
-    near = F.expr("ts BETWEEN at - INTERVAL 48 HOUR AND at + INTERVAL 48 HOUR AND id <> other")
-    return a.join(b, ["user_id", "event_type"]).where(near).groupBy("id").agg(F.count("*").alias("candidates"))
+    # A count over a range of time, so that no pair of a hot user is ever made.
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    near = Window.partitionBy("user_id", "event_type").orderBy("at").rangeBetween(-172_800_000_000, 172_800_000_000)
+    counted = t.events.select(F.col("event_id").alias("id"), "user_id", "event_type", micros.alias("at")).withColumn("candidates", F.count("*").over(near) - 1)
+    return counted.where("candidates > 0").select("id", "candidates")
 
 
 # --- dedup and state ------------------------------------------------------------------
@@ -488,7 +490,7 @@ def fake_embedding(t):
 
 @query()
 def name_extraction(t):
-    return B.texts(t).select("article_id", S.extract_names()("title").alias("names"))
+    return B.texts(t).select("article_id", S.extract_names(F.col("title")).alias("names"))
 
 
 @query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'transient' WHEN 1 THEN 'http_error' WHEN 2 THEN 'transient' WHEN 3 THEN 'not_html' WHEN 4 THEN 'fetched' WHEN 5 THEN 'fetched' ELSE 'too_large' END AS outcome, CASE event_id % 7 WHEN 0 THEN 'unreachable' WHEN 1 THEN 'allow' WHEN 2 THEN 'unreachable' ELSE 'parse' END AS robots FROM events")
@@ -714,9 +716,76 @@ def confusion_metrics(t):
     return evalset.confusion(scored).select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query()
+_POISSON = [0.36787944117144233 * x for x in (1, 2, 2.5, 8 / 3, 65 / 24, 163 / 60, 1957 / 720, 13700 / 5040)]  # P(a Poisson(1) number is at most 0 ... 7)
+
+
+@query(f"""WITH d AS (SELECT s, CAST(quality AS DOUBLE) - toxic AS gap, CAST(('0x' || substr(md5('0:' || s || ':' || doc_id), 1, 12))::BIGINT AS DOUBLE) / 281474976710656.0 AS u FROM labels, range(200) r(s)),
+  w AS (SELECT s, gap, {' + '.join(f'(u > {x!r})::INT' for x in _POISSON)} AS w FROM d), m AS (SELECT sum(gap * w) / nullif(sum(w), 0) AS m FROM w GROUP BY s), o AS (SELECT list_sort(list(m)) AS m FROM m WHERE m IS NOT NULL)
+  SELECT round(m[floor(len(m) * 0.025)::INT + 1], 6) AS low, round(m[floor(len(m) * 0.975)::INT + 1], 6) AS high FROM o""")
 def bootstrap_interval(t):
-    return evalset.bootstrap_frame(t.labels.selectExpr("doc_id AS pair_id", "CAST(quality AS DOUBLE) AS a", "CAST(toxic AS DOUBLE) AS b"), 200)
+    low_high = evalset.bootstrap_frame(t.labels.selectExpr("doc_id AS pair_id", "CAST(quality AS DOUBLE) AS a", "CAST(toxic AS DOUBLE) AS b"), 200)
+    return low_high.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query()
+def hard_queries(t):
+    rows = B.texts(t).where("title is not null")
+    clusters = rows.groupBy(F.expr("article_id div 4").alias("event_id")).agg(F.min("article_id").alias("seed"), F.array_sort(F.collect_list("article_id")).alias("members"), F.max_by("title", "article_id").alias("paraphrase"))
+    return evalset.hard_queries(clusters.where("size(members) > 1"), rows.select("article_id", "title"))
+
+
+# --- queue, embedding and digest cycle ------------------------------------------------
+
+
+@query(f"""SELECT q.seq, 'http://n/' || n_name AS url, q.attempts FROM ({_QUEUE}) q JOIN orders ON o_orderkey = q.seq JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+  WHERE n_regionkey <> 2 AND q.status = 'pending' AND q.next_attempt_at <= TIMESTAMP '1999-01-01' AND q.created_at >= TIMESTAMP '1998-01-01' ORDER BY q.seq DESC LIMIT 100""")
+def queued_pages(t):
+    home = t.customer.join(F.broadcast(t.nation.where("n_regionkey <> 2")), F.col("n_nationkey") == F.col("c_nationkey")).selectExpr("c_custkey AS o_custkey", "concat('http://n/', n_name) AS url")
+    articles = t.orders.join(home, "o_custkey").selectExpr("o_orderkey AS url_hash", "url")
+    return merge.queued_pages(_queue(t).withColumn("url_hash", F.col("seq")), articles, NOW, timedelta(days=365), 100).select("seq", "url", "attempts")
+
+
+@query(f"""WITH {TEXTS}, s AS (SELECT doc_id FROM labels WHERE quality = 0), a AS (SELECT article_id, seq, lang FROM texts WHERE article_id NOT IN (SELECT doc_id FROM s)),
+  p AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents WHERE lang <> 'de' AND text IS NOT NULL)
+  (SELECT 'title' AS kind, CAST(article_id AS VARCHAR) AS key FROM a WHERE lang <> 'en' ORDER BY seq DESC, key LIMIT 40) UNION ALL (SELECT 'passage', doc_id || ':' || idx FROM p ORDER BY doc_id DESC, doc_id || ':' || idx LIMIT 40)""")
+def embed_round(t):
+    titles = B.texts(t).select(F.col("article_id").cast("string").alias("key"), "seq", F.col("title").alias("text"), F.col("lang").alias("embedding_model"))
+    each = t.documents.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+    passages = each.select(F.concat_ws(":", "doc_id", "idx").alias("key"), F.col("doc_id").alias("seq"), "text", F.when(F.col("lang") == "de", "en").alias("embedding_model"))
+    skip = t.labels.where("quality = 0").select(F.col("doc_id").cast("string").alias("key"))
+    return merge.embed_round(titles, passages, skip, "en", 40).select("kind", "key")
+
+
+@query(f"WITH {ARTICLES}, w AS (SELECT * FROM articles WHERE seq > 700 ORDER BY seq LIMIT 900) SELECT count(*) AS n_rows, count(*) FILTER (WHERE domain = '5-LOW') AS n_unreadable, max(seq) AS cursor FROM w")
+def digest_window(t):
+    rows = B.articles(t).withColumn("url", F.when(F.col("domain") != "5-LOW", F.lit("http://x/")).otherwise(F.lit(" ")))
+    return digest.read_window(rows, 700, 900)[1]
+
+
+@query(f"""WITH {TEXTS}, h AS (SELECT *, article_id // 4 AS group_id, row_number() OVER (PARTITION BY article_id // 4 ORDER BY article_id DESC) AS place FROM texts),
+  e AS (SELECT *, CASE WHEN place <= 2 AND lang <> 'de' AND trim(coalesce(body, ''), ' ') <> '' THEN substr(trim(body, ' '), 1, 100) END AS x FROM h)
+  SELECT group_id, array_to_string(list_transform(list_sort(list({{'p': place, 't': title}}) FILTER (place <= 3)), lambda v: v.t), '|') AS titles, arg_min(x, place) FILTER (x IS NOT NULL) AS excerpt, count(x) > 0 OR count(*) >= 2 AS wanted FROM e GROUP BY 1""")
+def summary_plan(t):
+    rows = B.texts(t).withColumn("group_id", F.expr("article_id div 4"))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("article_id"))))
+    bodies = rows.select("article_id", F.when(F.col("lang") != "de", "ok").otherwise("no_text").alias("body_status"), "body")
+    plan = digest.summary_plan(placed.select("group_id", "article_id", "place", "title"), bodies, also=2, lookups=2, body_chars=100)
+    return plan.select("group_id", F.array_join("titles", "|").alias("titles"), "excerpt", "wanted")
+
+
+_SECTION_JSON = '{"Finished": ["STATUS_F"], "Urgent": ["PRIO_1", "PRIO_2"], "Open": ["STATUS_"]}'
+
+
+@query(f"""WITH {ARTICLES}, v AS (SELECT article_id, (list_contains(themes, 'STATUS_F'))::INT AS a, (list_contains(themes, 'PRIO_1') OR list_contains(themes, 'PRIO_2'))::INT AS b FROM articles)
+  SELECT article_id AS group_id, CASE WHEN a = 1 THEN 'Finished' WHEN b = 1 THEN 'Urgent' ELSE 'Open' END AS label FROM v""")
+def section_map(t):
+    rows = B.articles(t).withColumn("group_id", F.col("article_id"))
+    return digest.section_votes(rows, digest.section_map(_SECTION_JSON), 1).select("group_id", "label")
+
+
+@query()
+def page_outcomes(t):
+    return t.pages.select("page_id", passages.page_outcome(F.col("html")).alias("o")).select("page_id", "o.status", "o.text")
 
 
 # --- slots and streams ----------------------------------------------------------------
