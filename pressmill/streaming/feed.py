@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pressmill import schemas
+from pressmill.functions import scalars as S
 from pressmill.operators import dedup, merge, parsers
 
 
@@ -46,15 +47,35 @@ def routed(raw: DataFrame) -> dict[str, DataFrame]:
     return {kind: parsers.good_rows(raw, kind) for kind in schemas.KINDS} | {"dlq": parsers.dead_letters(raw)}
 
 
-class FeedStore:
-    """Events, mentions, articles and dead letters as versioned tables that batches merge into."""
+ARTICLE_STATE = schemas.CLEAN_ARTICLE + ", story_key STRING, story_id STRING, arrival STRING"
+MENTION_STATE = "event_id BIGINT, url STRING, url_hash STRING, source_name STRING, mention_time TIMESTAMP_NTZ, confidence INT, derived BOOLEAN"
+
 
-    def __init__(self, spark: SparkSession, path: str):
-        table = lambda name, ddl: merge.VersionedTable(spark, f"{path}/{name}", ddl)
-        self.events = merge.VersionedTable(spark, f"{path}/events", schemas.CLEAN_EVENT)
-        self.mentions = table("mentions", "event_id bigint, url string, url_hash string, source_name string, mention_time timestamp_ntz, confidence int, derived boolean")
-        self.articles = merge.VersionedTable(spark, f"{path}/articles", schemas.CLEAN_ARTICLE)
-        self.dead = table("dlq", "reason string, slot string, row_no int, line string, kind string")
+class FeedStore:
+    """Events, mentions, articles and dead letters as versioned tables that batches merge into. The newest `keep` versions stay.
+
+    An article is stored once, with its story. Only the stories of keys that a batch brings are decided again, from all
+    articles of these keys in order of arrival, so what was decided before stays. Mentions of a story's copies are written
+    for its main article, too, marked as derived."""
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3):
+        self.events, self.mentions, self.articles, self.dead = (
+            merge.VersionedTable(spark, f"{path}/{name}", ddl)
+            for name, ddl in (("events", schemas.CLEAN_EVENT), ("mentions", MENTION_STATE), ("articles", ARTICLE_STATE), ("dlq", schemas.DEAD_LETTER))
+        )
+        self.keep = keep
+
+    def _write(self, table: merge.VersionedTable, rows: DataFrame, batch: int) -> None:
+        table.write(rows, batch)
+        table.prune(self.keep)
+
+    def _with_stories(self, fresh: DataFrame) -> DataFrame:
+        """Fresh articles with their story, decided together with the stored articles of their keys."""
+        fresh = fresh.withColumn("story_key", S.story_key(F.col("title")))
+        past = self.articles.read().join(fresh.select("story_key").distinct(), "story_key", "left_semi")
+        columns = [F.col("url_hash").alias("article_id"), "story_key", "domain", "url", "published_at", "arrival"]
+        stories = dedup.group_stories(past.select(*columns).unionByName(fresh.select(*columns)))
+        return fresh.join(stories.select(F.col("article_id").alias("url_hash"), "story_id"), "url_hash")
 
     def absorb(self, raw: DataFrame, batch: int) -> None:
         """Merge a batch of raw messages; a batch absorbed before changes nothing."""
@@ -62,14 +83,22 @@ class FeedStore:
         arrival = F.struct("slot", "row_no").alias("arrival")
         events = parsers.parse_events(parsers.with_kind(raw).where("kind = 'events'")).where("reason is null").select("event.*", arrival)
         events = dedup.newest_in_batch(events, ["event_id"], "date_added", "arrival").drop("arrival")
-        self.events.write(merge.upsert_events(self.events.read(), events), batch)
+        self._write(self.events, merge.upsert_events(self.events.read(), events), batch)
+
+        in_order = F.concat_ws(":", F.lpad(F.lit(batch).cast("string"), 12, "0"), "slot", F.lpad(F.col("row_no").cast("string"), 10, "0")).alias("arrival")
+        articles = parsers.parse_articles(parsers.with_kind(raw).where("kind = 'gkg'")).where("reason is null").select("article.*", in_order)
+        fresh = dedup.first_by(articles, "url_hash", ["arrival"], self.articles.read())
+        self._write(self.articles, self.articles.read().unionByName(self._with_stories(fresh)), batch)
+
         mentions = parsers.parse_mentions(parsers.with_kind(raw).where("kind = 'mentions'")).where("reason is null").select("mention.*", arrival)
-        mentions = dedup.newest_in_batch(mentions, ["event_id", "url_hash"], "mention_time", "arrival").drop("arrival")
-        self.mentions.write(merge.upsert_mentions(self.mentions.read(), mentions.withColumn("derived", F.lit(False))), batch)
-        articles = parsers.parse_articles(parsers.with_kind(raw).where("kind = 'gkg'")).where("reason is null").select("article.*", arrival)
-        fresh = dedup.first_by(articles, "url_hash", ["arrival"], self.articles.read()).drop("arrival")
-        self.articles.write(self.articles.read().unionByName(fresh), batch)
-        self.dead.write(self.dead.read().unionByName(parsers.dead_letters(raw)).dropDuplicates(["slot", "row_no", "kind"]), batch)
+        mentions = dedup.newest_in_batch(mentions, ["event_id", "url_hash"], "mention_time", "arrival").drop("arrival").withColumn("derived", F.lit(False))
+        known = merge.upsert_mentions(self.mentions.read(), mentions)
+        sources = self.articles.read().where("story_id is not null").select("url_hash", F.col("story_id").alias("article_id"))
+        follow = dedup.derived_mentions(known.withColumn("ingested_at", F.col("mention_time")), sources)
+        main = self.articles.read().select("url_hash", "url")
+        derived = follow.join(main, "url_hash").select("event_id", "url", "url_hash", F.lit(None).cast("string").alias("source_name"), F.col("ingested_at").alias("mention_time"), F.lit(None).cast("int").alias("confidence"), "derived")
+        self._write(self.mentions, known.unionByName(derived), batch)
+        self._write(self.dead, self.dead.read().unionByName(parsers.dead_letters(raw)).dropDuplicates(["slot", "row_no", "kind"]), batch)
 
 
 def run_feed(raw: DataFrame, store: FeedStore, checkpoint: str) -> StreamingQuery:
@@ -79,10 +108,8 @@ def run_feed(raw: DataFrame, store: FeedStore, checkpoint: str) -> StreamingQuer
 
 def push_frames(articles: DataFrame) -> DataFrame:
     """Server-sent frames of new articles, one an article, whose id is the reader's next cursor."""
-    from pressmill.functions.scalars import encode_cursor
-
     data = F.to_json(F.struct(*[c for c in articles.columns if c != "seq"]))
-    return articles.select("seq", F.concat(F.lit("id: "), encode_cursor(F.col("seq")), F.lit("\nevent: article\ndata: "), data, F.lit("\n\n")).alias("frame"))
+    return articles.select("seq", F.concat(F.lit("id: "), S.encode_cursor(F.col("seq")), F.lit("\nevent: article\ndata: "), data, F.lit("\n\n")).alias("frame"))
 
 
 def push(articles: DataFrame, condition, deliver: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -144,19 +171,12 @@ def window_limits(attempts: DataFrame, limit: int, span: timedelta, key: str, at
     return attempts.groupBy(key).applyInPandas(walk, attempts.schema.add("allowed", "boolean"))
 
 
-def digest_cycle(read: Callable[[], tuple[DataFrame, int]], write: Callable[[str], None], ack: Callable[[int], None], build: Callable[[DataFrame], str]) -> None:
-    """One cycle: read, build, write, and only then move the cursor, so a crash repeats a digest and never loses one."""
-    rows, cursor = read()
-    write(build(rows))
-    ack(cursor)
-
-
-def atomic_digest(folder: str, now: datetime) -> Callable[[str], None]:
+def atomic_digest(folder: str) -> Callable[[datetime, str], None]:
     """Writer of <day>/<HHMM>.md and latest.md on the driver; a reader sees whole files only."""
     import os
     import tempfile
 
-    def write(text: str) -> None:
+    def write(now: datetime, text: str) -> None:
         for target in (os.path.join(folder, f"{now:%Y-%m-%d}", f"{now:%H%M}.md"), os.path.join(folder, "latest.md")):
             os.makedirs(os.path.dirname(target), exist_ok=True)
             handle, temporary = tempfile.mkstemp(dir=os.path.dirname(target))
