@@ -4,7 +4,8 @@ Groups of rows with equal texts are atomic. Their order is by digest of the text
 The smallest feasible capacity is found by binary search with a greedy check. The search needs prefix sums only near
 the cuts, so the driver holds a skeleton of at most a few thousand boundaries and asks Spark for finer ones inside the
 few intervals where a cut can lie, until the strict bound (cuts on known boundaries) meets the relaxed one (cuts
-anywhere). No list of groups, and no group, is ever collected.
+anywhere). No list of groups, and no group, is ever collected. The greedy check leaves what is over to the last shards, so
+the cuts are then moved, under that capacity, to the known boundaries nearest the even marks.
 
 A group above the even share fills a shard of its own; the others are spread by minimax over the shards that remain,
 so one hot text cannot leave shards empty.
@@ -79,9 +80,8 @@ def minimax_cuts(known: list[int], atomic: set[int], shards: int, largest: int,
     while True:
         high = _smallest(lambda c: _strict(known, shards, c), floor, max(total, floor))
         low = _smallest(lambda c: _relaxed(known, atomic, shards, c), floor, high)
-        cuts = _strict(known, shards, high)
         if low == high:
-            return high, cuts
+            return high, even_cuts(known, shards, high)
         first = [c for c in (_strict_reach(known, shards, low)) if c < total]
         last = [c for c in _relaxed(known, atomic, shards, high) if c <= total]
         wanted = []
@@ -89,7 +89,7 @@ def minimax_cuts(known: list[int], atomic: set[int], shards: int, largest: int,
             i, j = bisect_right(known, a) - 1, bisect_right(known, b)
             wanted += [(known[k], known[k + 1]) for k in range(max(i, 0), min(j, len(known) - 1)) if known[k + 1] not in atomic]
         if not wanted:
-            return high, cuts
+            return high, even_cuts(known, shards, high)
         wanted = sorted(set(wanted))
         more, single = finer(_merged(wanted))
         # A share of many boundaries may be known already; fewer intervals give a finer share, one gives new ones.
@@ -100,6 +100,35 @@ def minimax_cuts(known: list[int], atomic: set[int], shards: int, largest: int,
         atomic = (atomic & set(known)) | single
 
 
+def even_cuts(known: list[int], shards: int, capacity: int) -> list[int]:
+    """Cuts under a feasible capacity, each at the boundary nearest to an even share of what is left, as far as the rest
+    still fits the shards that are left. None is empty while boundaries last."""
+    cuts, at, total = [], 0, known[-1]
+    for left in range(shards, 1, -1):
+        here, far = bisect_right(known, at) - 1, bisect_right(known, at + capacity) - 1
+        low, high = min(here + 1, far), far
+        while low < high:  # the earliest boundary from which the other shards suffice
+            mid = (low + high) // 2
+            if _strict_from(known, known[mid], left - 1, capacity):
+                high = mid
+            else:
+                low = mid + 1
+        mark = at + (total - at) / left
+        k = min(max(bisect_right(known, mark), low), far)
+        best = min((j for j in (k - 1, k) if low <= j <= far), key=lambda j: abs(known[j] - mark))
+        # Leave a boundary for every shard to come, where there are enough.
+        best = max(low, min(best, len(known) - left))
+        at = known[best]
+        cuts.append(at)
+    return [*cuts, total]
+
+
+def _strict_from(known: list[int], at: int, shards: int, capacity: int) -> bool:
+    for _ in range(shards):
+        at = _next_cut(known, at, capacity)
+    return at >= known[-1]
+
+
 def _merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(set(intervals)):

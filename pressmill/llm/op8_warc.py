@@ -188,6 +188,9 @@ def query(spark, sf_dir):
     return read_bundles(write_bundles(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-# DuckDB has no base32, so the digest is spelled out from the hex SHA-1: 32 groups of five bits.
-_B32 = "array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST('0b' || substr(bits, 1 + 5 * i, 5) AS INTEGER), 1)), '')"
-ORACLE_SQL = None
+# DuckDB has no base32, so the digest is spelled out from the hex SHA-1: 32 groups of five bits, eight in ten hex digits.
+ORACLE_SQL = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x FROM pages),
+  f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first_id FROM p)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(x, (1 + 10 * (i // 8))::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31)::INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_lsa_decontamination": op9_decontaminate.query,
     "op10_fuzzy_lines": op10_lines.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_seekable_warc": op8_warc.ORACLE_SQL}

@@ -216,3 +216,33 @@ def test_packing_of_many_equal_small_pieces(spark):
     rows = got.collect()
     assert sum(r.n for r in rows) == n and all(r.n == r.places and r.used == r.end <= 4096 for r in rows)
     assert len(rows) <= 1.02 * (20_000 / 4096 + 40_000 / 13) + 2
+
+
+def test_cuts_are_even_under_the_smallest_capacity():
+    rng = random.Random(9)
+    for _ in range(400):
+        sizes = [rng.choice([1, 2, 3, 5, 8, 40]) for _ in range(rng.randint(1, 120))]
+        known, shards = [0], rng.randint(1, 12)
+        for n in sizes:
+            known.append(known[-1] + n)
+        capacity, cuts = op2_sharding.minimax_cuts(known, set(known), shards, max(sizes), lambda intervals: (set(), set()))
+        parts = [b - a for a, b in zip([0, *cuts], cuts, strict=False)]
+        assert len(cuts) == shards and cuts[-1] == known[-1] and set(cuts) <= set(known) and max(parts) <= capacity
+        assert op2_sharding._strict(known, shards, capacity) and not (capacity > max(sizes) and op2_sharding._strict(known, shards, capacity - 1))
+        if len(sizes) >= 3 * shards:
+            assert min(parts) > 0, (sizes, shards, cuts)
+
+
+def test_warc_query_equals_its_sql(spark):
+    import glob
+    import os
+
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the driver's tables")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{glob.glob(folder + '/pages.parquet*')[0]}')")
+    want = con.sql(op8_warc.ORACLE_SQL).fetchall()
+    assert sorted(map(tuple, op8_warc.query(spark, folder).collect()), key=str) == sorted(want, key=str) and len(want) > 0
