@@ -17,6 +17,7 @@ score is 0; an empty table gives an empty result. Columns other than doc_id and
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,31 +60,41 @@ def fit(texts: list[str], toxic: list[int], prior: tuple[int, int]) -> Model:
     """Maximum likelihood by Adam over all sentences of the sample. prior: counts of label 0 and 1 among all labelled documents."""
     if len(set(toxic)) < 2:
         return Model(-30.0 if not any(toxic) else 30.0, {})
+    # Flat arrays of machine integers, not lists: the sample is held by the driver.
     words: dict[str, int] = {}
-    occurrences, sentence_sizes, document_sizes = [], [], []
+    occurrences, sentence_sizes, document_sizes, pair_words, pair_sizes = (array("i") for _ in range(5))
     for text in texts:
-        n = 0
-        for sentence in SENTENCE_END.split(text.lower()):
+        sentences, seen = SENTENCE_END.split(text.lower()), set()
+        for sentence in sentences:
             own = [words.setdefault(w, len(words)) for w in WORD.findall(sentence)]
-            occurrences += own
+            occurrences.extend(own)
             sentence_sizes.append(len(own))
-            n += 1
-        document_sizes.append(n)
-    occ, s_sizes, d_sizes = np.array(occurrences, np.int32), np.array(sentence_sizes), np.array(document_sizes)
-    del occurrences
+            seen.update(own)
+        document_sizes.append(len(sentences))
+        pair_words.extend(seen)
+        pair_sizes.append(len(seen))
+    plain = lambda a: np.frombuffer(a, np.int32) if len(a) else np.zeros(0, np.int32)
+    occ, s_sizes, d_sizes = plain(occurrences), plain(sentence_sizes), plain(document_sizes)
     sentence_of = np.repeat(np.arange(len(s_sizes), dtype=np.int32), s_sizes)
     document_of = np.repeat(np.arange(len(d_sizes), dtype=np.int32), d_sizes)
-    names: dict[str, int] = {}
-    of_word = np.array([[names.setdefault(x, len(names)) for x in ("=" + w, "4" + w[:4], "5" + w[:5])] for w in words], np.int32)
+    # A word is the feature of its own number; beginnings are numbered behind the words.
+    starts: dict[str, int] = {}
+    features = array("i")
+    for k, w in enumerate(words):
+        features.extend((k, len(words) + starts.setdefault("4" + w[:4], len(starts)), len(words) + starts.setdefault("5" + w[:5], len(starts))))
+    n_names = len(words) + len(starts)
+    of_word = plain(features).reshape(-1, 3)
     y = np.array(toxic, float)
-    live = _telling(of_word, np.unique(document_of[sentence_of].astype(np.int64) << 32 | occ), len(names), y)
+    pair_docs = np.repeat(np.arange(len(pair_sizes), dtype=np.int64), plain(pair_sizes))
+    live = _telling(of_word, pair_docs, plain(pair_words), n_names, y)
+    del pair_docs, pair_words
     useful = live[of_word].any(axis=1)[occ]
     occ, sentence_of = occ[useful], sentence_of[useful]
     used, occ = np.unique(occ, return_inverse=True)
     of_word = of_word[used]
     weight = np.where(y == 1, prior[1] / y.sum(), prior[0] / (len(y) - y.sum())) / sum(prior) * len(y)
-    w, base = np.zeros(len(names)), -6.0
-    moment, spread = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    w, base = np.zeros(n_names), -6.0
+    moment, spread = np.zeros(n_names + 1), np.zeros(n_names + 1)
     for step in range(1, ROUNDS + 1):
         per_word = w[of_word].sum(axis=1)
         z = np.clip(base + np.bincount(sentence_of, per_word[occ], len(s_sizes)), -60, 60)
@@ -91,21 +102,23 @@ def fit(texts: list[str], toxic: list[int], prior: tuple[int, int]) -> Model:
         pull = np.where(y == 1, -1 / np.expm1(np.clip(clean, 1e-9, 500)), 1.0) * weight / len(y)
         g_sentence = pull[document_of] / (1 + np.exp(-z))
         g_word = np.bincount(occ, g_sentence[sentence_of], len(used))
-        g = np.append(sum(np.bincount(of_word[:, k], g_word, len(names)) for k in range(3)) * live + DECAY / len(y) * w, g_sentence.sum())
+        g = np.append(sum(np.bincount(of_word[:, k], g_word, n_names) for k in range(3)) * live + DECAY / len(y) * w, g_sentence.sum())
         moment = 0.9 * moment + 0.1 * g
         spread = 0.99 * spread + 0.01 * g * g
         move = RATE * (moment / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-7)
         w, base = (w - move[:-1]) * live, base - move[-1]
-    return Model(float(base), {n: float(w[k]) for n, k in names.items() if abs(w[k]) > 1e-3})
+    telling = {k: float(w[k]) for k in np.flatnonzero(np.abs(w) > 1e-3).tolist()}
+    weights = {"=" + x: telling[k] for k, x in enumerate(words) if k in telling}
+    return Model(float(base), weights | {x: telling[len(words) + k] for x, k in starts.items() if len(words) + k in telling})
 
 
-def _telling(of_word: np.ndarray, pairs: np.ndarray, n_names: int, y: np.ndarray) -> np.ndarray:
+def _telling(of_word: np.ndarray, docs: np.ndarray, words: np.ndarray, n_names: int, y: np.ndarray) -> np.ndarray:
     """Features that more toxic documents have than chance explains: log-likelihood ratio above 2 ln(number of features).
 
-    pairs: distinct (document << 32 | word)."""
+    docs, words: which document has which word, each pair once."""
     has = np.zeros((2, n_names))
     for k in range(3):
-        both = np.unique((pairs >> 32) << 32 | of_word[pairs & 0xFFFFFFFF, k])
+        both = np.unique(docs << 32 | of_word[words, k])
         for label in (0, 1):
             has[label] += np.bincount(both[y[both >> 32] == label] & 0xFFFFFFFF, minlength=n_names)
     totals = np.array([(y == 0).sum(), (y == 1).sum()], float)[:, None]
