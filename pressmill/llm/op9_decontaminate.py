@@ -4,7 +4,8 @@
    passage frequency.
 2. A distributed randomised SVD of the benchmark's TF-IDF matrix (range finder with power iterations; every product with
    the matrix is a sum over partitions) gives a latent space of at most RANK dimensions.
-3. Every text is cut into windows of 16, 32, 64 and 256 words, every half window; those of each width are compared with
+3. A stretch of text is looked at for the items of which enough words stand in it for the subsequence asked for below; most
+   stretches have no such item and end here. The others are cut into windows of 16, 32, 64 and 256 words, every half window; those of each width are compared with
    the items of a fitting length (SPANS), so that a short item is not diluted. Window vectors are projected and compared in
    blocks of items; pairs with a cosine of at least COSINE are candidates.
 4. A candidate is confirmed by the longest common subsequence of the item's words and the words around the window (at
@@ -37,6 +38,7 @@ PASSAGE, CHUNK = 32, 8
 SPANS = ((2, 0, 12), (4, 8, 48), (8, 24, 192), (32, 96, 1 << 40))  # windows of so many chunks for items of so many words
 COSINE, LCS, SURE, ANSWER, ANSWER_WORDS = 0.4, 0.6, 0.8, 0.5, 3
 MAX_ITEMS, MAX_WORDS, ITEM_BLOCK = 20_000, 100_000, 1024
+STRETCH = 768  # words; a multiple of half of every window
 SEED = 11
 WORD = re.compile(r"\w+")
 
@@ -169,14 +171,35 @@ class Searcher:
         self.counts = [Counter(own) for own in self.ids]
         sizes = np.array([len(own) for own in self.ids], np.int64)
         fitting = [(span, np.flatnonzero((sizes >= least) & (sizes <= most))) for span, least, most in SPANS]
-        self.fitting = [(span, at, self.latent[at]) for span, at in fitting if len(at)]
-
-    def candidates(self, ids: np.ndarray, cosine: float) -> Iterator[tuple[int, int, int, float]]:
+        self.fitting = [(span, at) for span, at in fitting if len(at)]
+        self.need = LCS * sizes
+        # Which items have a word, and how often: postings of word w are postings[starts[w] : starts[w + 1]].
+        held = sorted((w, k, c) for k, counts in enumerate(self.counts) for w, c in counts.items())
+        self.starts = np.searchsorted(np.array([h[0] for h in held], np.int64), np.arange(len(vocabulary) + 1)).tolist()
+        self.postings, self.times = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.float64)
+        # Stretches overlap by a window and an item on each side of it, so every match lies whole in one of them.
+        self.overlap = CHUNK * max([span for span, _ in self.fitting], default=1) + 2 * int(sizes.max(initial=0))
+        self.stretch = -(-max(STRETCH, 2 * self.overlap) // STRETCH) * STRETCH
+
+    def possible(self, ids: np.ndarray) -> np.ndarray:
+        """Items of which enough words are among the ids, wherever they stand."""
+        starts = self.starts
+        spans = [slice(starts[w], starts[w + 1]) for w in np.unique(ids[ids >= 0]).tolist()]
+        if not spans:
+            return np.zeros(len(self.items), bool)
+        held = np.bincount(np.concatenate([self.postings[x] for x in spans]), np.concatenate([self.times[x] for x in spans]), len(self.items))
+        return held >= self.need - 1e-9
+
+    def candidates(self, ids: np.ndarray, cosine: float, possible: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(item, first and last word of the window, likeness)."""
         n_chunks = -(-len(ids) // CHUNK)
         chunks = np.add.reduceat(self.project[ids], np.arange(0, len(ids), CHUNK), axis=0)
         upto = np.vstack([np.zeros((1, chunks.shape[1]), np.float64), np.cumsum(chunks, axis=0, dtype=np.float64)])
-        for span, items, latent in self.fitting:
+        for span, fitting in self.fitting:
+            items = fitting[possible[fitting]]
+            if not len(items):
+                continue
+            latent = self.latent[items]
             first = np.arange(0, max(1, n_chunks - span // 2), span // 2)
             last = np.minimum(first + span, n_chunks)
             vectors = (upto[last] - upto[first]).astype(np.float32)
@@ -192,10 +215,19 @@ class Searcher:
         if not own or not self.items:
             return []
         get = self.get
-        ids = np.array([get(w, -1) for w in own], np.int64)
+        all_ids = np.array([get(w, -1) for w in own], np.int64)
         best: dict[int, tuple] = {}
+        for start in range(0, max(1, len(own) - self.overlap), self.stretch):
+            end = start + self.stretch + self.overlap
+            ids = all_ids[start:end]
+            possible = self.possible(ids)
+            if possible.any():
+                self._search(own[start:end], ids, possible, best)
+        return list(best.values())
+
+    def _search(self, own: list[str], ids: np.ndarray, possible: np.ndarray, best: dict[int, tuple]) -> None:
         known = ids.tolist()
-        for k, first, last, likeness in self.candidates(ids, COSINE):
+        for k, first, last, likeness in self.candidates(ids, COSINE, possible):
             item_id, item, _ = self.items[k]
             if k in best and best[k][2] >= 1:
                 continue
@@ -213,7 +245,6 @@ class Searcher:
             told = len(answer.intersection(near)) / len(answer)
             if (share >= SURE or told >= ANSWER) and (k not in best or (share, likeness) > (best[k][2], best[k][1])):
                 best[k] = (item_id, likeness, share, told)
-        return list(best.values())
 
 
 def _search_batches(sent):
