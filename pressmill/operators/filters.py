@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,8 +97,8 @@ def subscription(spec: dict) -> ArticleFilter:
 def match_subscriptions(articles: DataFrame, subscriptions: DataFrame, max_bytes: int = 8 << 20) -> DataFrame:
     """(subscription_id, articles.*) for every match of many filters (subscription_id, theme, domain, text, min_negativity).
 
-    Filters that name a domain are joined on it; only the rest are compared with every article, and those are broadcast
-    when they measure at most `max_bytes`."""
+    Filters that name a domain are joined on it; only the rest are compared with every article, in blocks of about `max_bytes`
+    that are sent to where the articles are."""
     s = subscriptions.select("subscription_id", F.col("theme").alias("f_theme"), F.col("domain").alias("f_domain"), F.col("text").alias("f_text"), F.col("min_negativity").cast("float").alias("f_tone"))
     prefix = F.col("f_theme").endswith("*")
     theme_ok = F.col("f_theme").isNull() | F.when(prefix, F.expr("exists(themes, t -> startswith(t, substring(f_theme, 1, length(f_theme) - 1)))")).otherwise(F.expr("array_contains(themes, f_theme)"))
@@ -107,7 +108,9 @@ def match_subscriptions(articles: DataFrame, subscriptions: DataFrame, max_bytes
     with_domain = articles.join(s.where("f_domain is not null"), (F.col("domain") == F.col("f_domain")) & ok)
     rest = s.where("f_domain is null")
     size = rest.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
-    anywhere = articles.join(F.broadcast(rest) if size <= max_bytes else rest, ok)
+    blocks = max(1, -(-size // max_bytes))
+    part = lambda k: rest.where(F.pmod(F.xxhash64("subscription_id"), F.lit(blocks)) == k)
+    anywhere = reduce(DataFrame.unionByName, [articles.join(F.broadcast(part(k)), ok) for k in range(blocks)])
     return with_domain.unionByName(anywhere).select("subscription_id", *articles.columns)
 
 
