@@ -35,13 +35,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete tables made by `written` that nothing will read again, and let Spark drop the shuffles that made them: its
-    cleaner acts when the driver finds their plans unreferenced."""
+    """Delete tables made by `written` that nothing will read again, and let Spark drop the shuffles that made them."""
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        drop_shuffles(tables[0].sparkSession)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner act on the shuffles of finished writes: it does so when the driver finds their plans unreferenced."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def ship(spark: SparkSession) -> None:
