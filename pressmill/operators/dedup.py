@@ -77,7 +77,9 @@ def group_stories(articles: DataFrame, window: timedelta = STORY_WINDOW) -> Data
     there with another page; else it starts a story. Stories never cross keys, so keys are independent. A key whose rows
     all fall within the window and have a domain each is decided without leaving the JVM: it is one story.
     Rows further apart than the window never meet, so a key falls apart at gaps in time; a null key is a story of its own."""
-    rows = first_by(articles, "article_id", ["arrival"]).withColumn("signature", S.page_signature(F.col("url")))
+    # Kept once: four branches read these rows, and their keys may come from a Python step.
+    wanted = articles.select("article_id", "story_key", "domain", "published_at", "arrival", S.page_signature(F.col("url")).alias("signature"))
+    rows = first_by(wanted, "article_id", ["arrival"]).checkpoint()
     own = rows.where("story_key is null").select("article_id", F.col("article_id").alias("story_id"), F.lit("canonical").alias("outcome"))
     span = F.expr(f"interval '{int(window.total_seconds())}' second")
     rows = rows.where("story_key is not null")

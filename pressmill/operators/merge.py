@@ -1,7 +1,7 @@
 """State changes as merges of two tables: upserts, cursors, retention, the work queue.
 
-Every merge is one union and one aggregation by key, so it shuffles once and combines before the shuffle. State lives as
-versioned Parquet (`VersionedTable`); a version is named by its batch, so a batch that is written again changes nothing.
+Every merge is one union and one aggregation by key, so it shuffles once and combines before the shuffle. The stream's state,
+which takes small batches, lies in streaming/store.py.
 """
 
 from __future__ import annotations
@@ -128,36 +128,3 @@ def skip_list(failures: DataFrame, after: int = 3, most: int = 1000) -> DataFram
     counted = failures.groupBy("key").agg(F.count("*").alias("n"), F.max("at").alias("last"))
     return counted.where(F.col("n") >= after).orderBy(F.desc("last"), "key").limit(most)
 
-
-class VersionedTable:
-    """Parquet versions `v=<batch>` under a path, and the newest that was finished. Readers see whole versions only,
-    because Spark's writer marks a finished version with _SUCCESS."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.schema = T.StructType.fromDDL(schema)
-        jvm = spark._jvm
-        self._of = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._of(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        root = self._of(self.path)
-        if not self._fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and self._fs.exists(self._of(f"{self.path}/{n}/_SUCCESS")))
-
-    def read(self) -> DataFrame:
-        done = self.versions()
-        if not done:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={done[-1]}")
-
-    def write(self, rows: DataFrame, batch: int) -> None:
-        """Write a version once; a batch that comes again is left alone."""
-        if batch not in self.versions():
-            rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/v={batch}")
-
-    def prune(self, keep: int = 2) -> None:
-        for v in self.versions()[:-keep]:
-            self._fs.delete(self._of(f"{self.path}/v={v}"), True)

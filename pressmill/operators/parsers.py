@@ -5,6 +5,8 @@ Numbers and times are read strictly: `1_000`, Unicode digits and times of fewer
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,16 @@ def _first_reason(*cases: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(bad, F.lit(reason)) for bad, reason in cases])
 
 
+def _fields(raw: DataFrame) -> tuple[DataFrame, Column, Callable[[int], Column]]:
+    """`raw` with its line split once, the fields, and one field. As a column of its own the split is not repeated for every
+    field that is read."""
+    c = F.col("_fields")
+    return raw.withColumn("_fields", F.split("line", "\t", -1)), c, lambda k: F.get(c, F.lit(k))
+
+
 def parse_articles(raw: DataFrame) -> DataFrame:
     """`raw` with reason (null if good) and the article."""
-    c = F.split("line", "\t", -1)
-    at = lambda k: F.get(c, F.lit(k))
+    raw, c, at = _fields(raw)
     url, extras = S.strip(at(4)), at(26)
     title = S.strip(F.regexp_extract(extras, r"(?s)<PAGE_TITLE>(.*?)</PAGE_TITLE>", 1))
     precise = F.regexp_extract(extras, r"<PAGE_PRECISEPUBTIMESTAMP>(\d{14})</PAGE_PRECISEPUBTIMESTAMP>", 1)
@@ -51,13 +59,12 @@ def parse_articles(raw: DataFrame) -> DataFrame:
         S.name_list(F.coalesce(F.nullif(at(8), F.lit("")), at(7))).alias("themes"), S.name_list(at(12)).alias("persons"), S.name_list(at(14)).alias("orgs"),
         F.struct(tone[0].alias("tone"), tone[1].alias("positive"), tone[2].alias("negative"), tone[3].alias("polarity"), word_count.alias("word_count")).alias("tone"),
     )
-    return raw.withColumn("reason", reason).withColumn("article", F.when(F.col("reason").isNull(), article))
+    return raw.withColumn("reason", reason).withColumn("article", F.when(F.col("reason").isNull(), article)).drop("_fields")
 
 
 def parse_events(raw: DataFrame) -> DataFrame:
     """`raw` with reason (null if good) and the event."""
-    c = F.split("line", "\t", -1)
-    at = lambda k: F.get(c, F.lit(k))
+    raw, c, at = _fields(raw)
     event_id, url, cameo = S.strip(at(0)), S.strip(at(60)), S.strip(at(26))
     date = F.when(at(1).rlike(r"^\d{8}\z"), F.try_to_timestamp(at(1), F.lit("yyyyMMdd"))).cast("date")
     added = _time(at(59))
@@ -79,13 +86,12 @@ def parse_events(raw: DataFrame) -> DataFrame:
         quad.alias("quad_class"), floats["goldstein"][0].alias("goldstein"), *[v.alias(k) for k, v in counts.items()], floats["avg_tone"][0].alias("avg_tone"),
         geo.alias("geo"), added.alias("date_added"), S.normalize_url(url).alias("source_url"), S.url_hash(url).alias("source_url_hash"),
     )
-    return raw.withColumn("reason", reason).withColumn("event", F.when(F.col("reason").isNull(), event))
+    return raw.withColumn("reason", reason).withColumn("event", F.when(F.col("reason").isNull(), event)).drop("_fields")
 
 
 def parse_mentions(raw: DataFrame) -> DataFrame:
     """`raw` with reason (null if good) and the mention."""
-    c = F.split("line", "\t", -1)
-    at = lambda k: F.get(c, F.lit(k))
+    raw, c, at = _fields(raw)
     event_id, url = S.strip(at(0)), S.strip(at(5))
     when_, (confidence, bad) = _time(at(2)), _number(at(11), "int")
     broken = when_.isNull() | bad | event_id.try_cast("bigint").isNull()
@@ -94,7 +100,7 @@ def parse_mentions(raw: DataFrame) -> DataFrame:
         event_id.try_cast("bigint").alias("event_id"), S.normalize_url(url).alias("url"), S.url_hash(url).alias("url_hash"),
         S.text_or_null(at(4)).alias("source_name"), when_.alias("mention_time"), confidence.alias("confidence"),
     )
-    return raw.withColumn("reason", reason).withColumn("mention", F.when(F.col("reason").isNull(), mention))
+    return raw.withColumn("reason", reason).withColumn("mention", F.when(F.col("reason").isNull(), mention)).drop("_fields")
 
 
 PARSERS = {"gkg": (parse_articles, "article"), "events": (parse_events, "event"), "mentions": (parse_mentions, "mention")}
@@ -110,11 +116,13 @@ def good_rows(raw: DataFrame, kind: str) -> DataFrame:
     return parse(with_kind(raw).where(F.col("kind") == kind)).where("reason is null").select(f"{name}.*")
 
 
+def dead_of(parsed: DataFrame) -> DataFrame:
+    """Dead letters of parsed lines; the line is cut to the dead letter's length."""
+    return parsed.where("reason is not null").select("reason", "slot", "row_no", F.substring("line", 1, schemas.DEAD_LETTER_CHARS).alias("line"), "kind")
+
+
 def dead_letters(raw: DataFrame) -> DataFrame:
-    """Every line that does not parse, of all kinds; the line is cut to the dead letter's length."""
-    out = None
+    """Every line that does not parse, of all kinds."""
     known = with_kind(raw)
-    for kind, (parse, _) in PARSERS.items():
-        bad = parse(known.where(F.col("kind") == kind)).where("reason is not null").select("reason", "slot", "row_no", F.substring("line", 1, schemas.DEAD_LETTER_CHARS).alias("line"), "kind")
-        out = bad if out is None else out.unionByName(bad)
-    return out
+    gkg, events, mentions = (dead_of(parse(known.where(F.col("kind") == kind))) for kind, (parse, _) in PARSERS.items())
+    return gkg.unionByName(events).unionByName(mentions)

@@ -86,3 +86,22 @@ def moment(column: str):
 
 def sql_moment(column: str) -> str:
     return f"strftime({column}, '%Y-%m-%d %H:%M:%S') AS {column}"
+
+
+def raw_messages(t: Tables) -> DataFrame:
+    """Orders as articles and events, line items as mentions, as the lines that a feed delivers, with the batch they come in.
+    A URL or event comes again with every order of its customer, a mention with every item of its part and supplier."""
+
+    def line(size: int, cells: dict[int, str]) -> str:
+        return "concat_ws('\t', " + ", ".join(cells.get(k, "''") for k in range(size)) + ") AS line"
+
+    stamp = lambda c: f"date_format({c}, 'yyyyMMddHHmmss')"
+    slot = f"{stamp('o_orderdate')} AS slot"
+    url, batch = "concat('http://c.com/', o_custkey)", "CAST(o_orderkey % 3 AS INT) AS batch"
+    article = {0: "string(o_orderkey)", 1: stamp("o_orderdate"), 3: "'c.com'", 4: url, 7: "'A;B'", 15: "'1,2,3,4,0,0,5'", 26: "concat('<PAGE_TITLE>Order ', o_orderkey, ' of ', o_orderpriority, '</PAGE_TITLE>')"}
+    event = {0: "string(o_custkey)", 1: "date_format(o_orderdate, 'yyyyMMdd')", 26: "'010'", 29: "'1'", 31: "'1'", 32: "'1'", 33: "'1'", 59: stamp("o_orderdate"), 60: url}
+    mention = {0: "string(l_partkey)", 2: stamp("l_shipdate"), 4: "'s.com'", 5: "concat('http://s.com/', l_suppkey)", 11: "string(l_linenumber)"}
+    gkg = t.orders.selectExpr(slot, "CAST(o_orderkey AS INT) AS row_no", line(27, article), "'gkg' AS kind", batch)
+    events_ = t.orders.selectExpr(slot, "CAST(o_orderkey AS INT) AS row_no", line(61, event), "'events' AS kind", batch)
+    items = t.lineitem.selectExpr(f"{stamp('l_shipdate')} AS slot", "CAST(l_orderkey AS INT) AS row_no", line(16, mention), "'mentions' AS kind", "CAST(l_linenumber % 3 AS INT) AS batch")
+    return gkg.unionByName(events_).unionByName(items)

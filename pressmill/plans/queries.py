@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -837,3 +838,21 @@ def dlq_reason(t):
 @query("SELECT o_orderkey AS seq, 'id: ' || base64(CAST('seq:' || o_orderkey AS BLOB)) || chr(10) || 'event: article' || chr(10) || 'data: {\"o_orderstatus\":\"' || o_orderstatus || '\"}' || chr(10) || chr(10) AS frame FROM orders")
 def push_frames(t):
     return feed.push_frames(t.orders.selectExpr("o_orderkey AS seq", "o_orderstatus"))
+
+
+@query("""SELECT 'article' AS kind, 'http://c.com/' || o_custkey AS id, arg_min('Order ' || o_orderkey || ' of ' || o_orderpriority, (o_orderkey % 3, o_orderdate, o_orderkey)) AS value FROM orders GROUP BY o_custkey
+  UNION ALL SELECT 'event', CAST(o_custkey AS VARCHAR), strftime(max(o_orderdate), '%Y-%m-%d') FROM orders GROUP BY o_custkey
+  UNION ALL SELECT 'mention', l_partkey || ' http://s.com/' || l_suppkey, strftime(max(l_shipdate), '%Y-%m-%d') FROM lineitem GROUP BY l_partkey, l_suppkey""")
+def feed_store(t):
+    """The whole tables as feed lines, absorbed in three batches of the store; what it then holds."""
+    store = feed.FeedStore(t.spark, f"{t.spark.sparkContext.getCheckpointDir()}/feed-{uuid.uuid4().hex}", retention=None, fan=2)
+    messages = B.raw_messages(t)
+    for batch in range(3):
+        store.absorb(messages.where(F.col("batch") == batch), batch)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    parts = [
+        store.articles.read().select(F.lit("article").alias("kind"), F.col("url").alias("id"), F.col("title").alias("value")),
+        store.events.read().select(F.lit("event"), F.col("event_id").cast("string"), day("date_added")),
+        store.mentions.read().select(F.lit("mention"), F.concat_ws(" ", "event_id", "url"), day("mention_time")),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])

@@ -1,23 +1,27 @@
 """The feed as Structured Streaming: route raw lines, merge into state, group stories, push, limit rates.
 
-Delivery is at least once and every write is idempotent: state versions are named by batch id, and merges keep the newest
-row whatever order rows come in, so no watermark is needed. The source is a factory; a message log where the connector is
+Delivery is at least once and every write is idempotent: a batch of the state counts as a whole or not at all, and merges keep
+the newest row whatever order rows come in, so no watermark is needed. The source is a factory; a message log where the connector is
 installed, files elsewhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pressmill import schemas
 from pressmill.functions import scalars as S
-from pressmill.operators import dedup, merge, parsers
+from pressmill.operators import dedup, parsers
+from pressmill.streaming.store import RunStore, TableSpec
 
 
 def raw_stream(spark: SparkSession, source: str, *, format: str = "json", options: dict | None = None) -> DataFrame:
@@ -47,63 +51,139 @@ def routed(raw: DataFrame) -> dict[str, DataFrame]:
     return {kind: parsers.good_rows(raw, kind) for kind in schemas.KINDS} | {"dlq": parsers.dead_letters(raw)}
 
 
-ARTICLE_STATE = schemas.CLEAN_ARTICLE + ", story_key STRING, story_id STRING, arrival STRING"
-MENTION_STATE = "event_id BIGINT, url STRING, url_hash STRING, source_name STRING, mention_time TIMESTAMP_NTZ, confidence INT, derived BOOLEAN"
+STATE = {
+    "events": TableSpec(f"{schemas.CLEAN_EVENT}, ingested_at TIMESTAMP_NTZ", ("event_id",), "event_id", "ingested_at"),
+    "articles": TableSpec(f"{schemas.CLEAN_ARTICLE}, story_key STRING, story_id STRING, arrival STRING, ingested_at TIMESTAMP_NTZ, kept_from TIMESTAMP_NTZ", ("url_hash",), "url_hash", "kept_from"),
+    # What a story is decided from, by story key.
+    "stories": TableSpec("story_key STRING, url_hash STRING, domain STRING, url STRING, published_at TIMESTAMP_NTZ, arrival STRING, kept_from TIMESTAMP_NTZ", ("url_hash",), "story_key", "kept_from"),
+    "mentions": TableSpec(f"{schemas.CLEAN_MENTION}, derived BOOLEAN, ingested_at TIMESTAMP_NTZ", ("event_id", "url_hash"), "url_hash", "ingested_at"),
+    "dlq": TableSpec(schemas.DEAD_LETTER, ("slot", "row_no", "kind"), "slot"),
+}
+
+
+MENTION_KEY, DEAD_KEY = ["event_id", "url_hash"], ["slot", "row_no", "kind"]
+
+
+def _arrival() -> Column:
+    return F.struct("_slot", "row_no")
+
+
+@dataclass(frozen=True)
+class StateTable:
+    store: RunStore
+    name: str
+
+    def read(self) -> DataFrame:
+        return self.store.read(self.name)
+
+    def versions(self) -> list[int]:
+        """The batches whose state can still be read."""
+        return self.store.versions()
 
 
 class FeedStore:
-    """Events, mentions, articles and dead letters as versioned tables that batches merge into. The newest `keep` versions stay.
-
-    An article is stored once, with its story. Only the stories of keys that a batch brings are decided again, from all
-    articles of these keys in order of arrival, so what was decided before stays. Mentions of a story's copies are written
-    for its main article, too, marked as derived."""
-
-    def __init__(self, spark: SparkSession, path: str, keep: int = 3):
-        self.events, self.mentions, self.articles, self.dead = (
-            merge.VersionedTable(spark, f"{path}/{name}", ddl)
-            for name, ddl in (("events", schemas.CLEAN_EVENT), ("mentions", MENTION_STATE), ("articles", ARTICLE_STATE), ("dlq", schemas.DEAD_LETTER))
-        )
-        self.keep = keep
-
-    def _write(self, table: merge.VersionedTable, rows: DataFrame, batch: int) -> None:
-        table.write(rows, batch)
-        table.prune(self.keep)
-
-    def _with_stories(self, fresh: DataFrame) -> DataFrame:
-        """Fresh articles with their story, decided together with the stored articles of their keys."""
-        fresh = fresh.withColumn("story_key", S.story_key(F.col("title")))
-        past = self.articles.read().join(fresh.select("story_key").distinct(), "story_key", "left_semi")
-        columns = [F.col("url_hash").alias("article_id"), "story_key", "domain", "url", "published_at", "arrival"]
-        stories = dedup.group_stories(past.select(*columns).unionByName(fresh.select(*columns)))
-        return fresh.join(stories.select(F.col("article_id").alias("url_hash"), "story_id"), "url_hash")
-
-    def absorb(self, raw: DataFrame, batch: int) -> None:
+    """Events, mentions, articles and dead letters that batches merge into (see RunStore). `keep` manifests stay.
+
+    An article is stored once, with its story. Only the stories of keys that a batch brings are decided again, from the
+    articles of these keys in order of arrival, so what was decided before stays. Mentions of a story's copies count for its
+    main article, too, marked as derived: a batch derives them from its own mentions and for its own copies. Rows go `retention`
+    after they came in or changed last; a story's copies go with its main article."""
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3, retention: timedelta | None = timedelta(days=7), **options):
+        self.spark = spark
+        self.store = RunStore(spark, path, STATE, keep=retention, manifests=keep, **options)
+        self.events, self.mentions, self.articles, self.dead = (StateTable(self.store, n) for n in ("events", "mentions", "articles", "dlq"))
+
+    def absorb(self, raw: DataFrame, batch: int, now: datetime | None = None) -> None:
         """Merge a batch of raw messages; a batch absorbed before changes nothing."""
-        raw = raw.select("slot", "row_no", "line", "kind")
-        arrival = F.struct("slot", "row_no").alias("arrival")
-        events = parsers.parse_events(parsers.with_kind(raw).where("kind = 'events'")).where("reason is null").select("event.*", arrival)
-        events = dedup.newest_in_batch(events, ["event_id"], "date_added", "arrival").drop("arrival")
-        self._write(self.events, merge.upsert_events(self.events.read(), events), batch)
-
-        in_order = F.concat_ws(":", F.lpad(F.lit(batch).cast("string"), 12, "0"), "slot", F.lpad(F.col("row_no").cast("string"), 10, "0")).alias("arrival")
-        articles = parsers.parse_articles(parsers.with_kind(raw).where("kind = 'gkg'")).where("reason is null").select("article.*", in_order)
-        fresh = dedup.first_by(articles, "url_hash", ["arrival"], self.articles.read())
-        self._write(self.articles, self.articles.read().unionByName(self._with_stories(fresh)), batch)
-
-        mentions = parsers.parse_mentions(parsers.with_kind(raw).where("kind = 'mentions'")).where("reason is null").select("mention.*", arrival)
-        mentions = dedup.newest_in_batch(mentions, ["event_id", "url_hash"], "mention_time", "arrival").drop("arrival").withColumn("derived", F.lit(False))
-        known = merge.upsert_mentions(self.mentions.read(), mentions)
-        sources = self.articles.read().where("story_id is not null").select("url_hash", F.col("story_id").alias("article_id"))
-        follow = dedup.derived_mentions(known.withColumn("ingested_at", F.col("mention_time")), sources)
-        main = self.articles.read().select("url_hash", "url")
-        derived = follow.join(main, "url_hash").select("event_id", "url", "url_hash", F.lit(None).cast("string").alias("source_name"), F.col("ingested_at").alias("mention_time"), F.lit(None).cast("int").alias("confidence"), "derived")
-        self._write(self.mentions, known.unionByName(derived), batch)
-        self._write(self.dead, self.dead.read().unionByName(parsers.dead_letters(raw)).dropDuplicates(["slot", "row_no", "kind"]), batch)
-
-
-def run_feed(raw: DataFrame, store: FeedStore, checkpoint: str) -> StreamingQuery:
-    """Absorb all available raw messages in micro-batches; the offsets are committed after the batch's writes."""
-    return raw.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda rows, n: store.absorb(rows, n)).start()
+        if batch <= self.store.batch:
+            return
+        now = now or datetime.now(UTC).replace(tzinfo=None)
+        self.store.expire(now)
+        raw = parsers.with_kind(raw.select("slot", "row_no", "line", "kind")).persist()
+        # Every line is parsed once, for good rows and dead letters alike.
+        parsed = {kind: parse(raw.where(F.col("kind") == kind)).persist() for kind, (parse, _) in parsers.PARSERS.items()}
+        try:
+            good = {kind: rows.where("reason is null").select(f"{parsers.PARSERS[kind][1]}.*", "row_no", F.col("slot").alias("_slot")) for kind, rows in parsed.items()}
+            # The tables hardly depend on one another and a batch is small, so their jobs run side by side.
+            with ThreadPoolExecutor(3) as pool:
+                events = pool.submit(self._absorb_events, good["events"], batch, now)
+                mentions = pool.submit(self._absorb_mentions, good["mentions"], batch, now)
+                dead = pool.submit(self._absorb_dead, parsed, batch)
+                fresh = self._absorb_articles(good["gkg"], batch, now)
+                self._derive_mentions(mentions.result(), fresh, batch, now)
+                events.result(), dead.result()
+            self.store.commit(batch, now)
+        finally:
+            for rows in (raw, *parsed.values()):
+                rows.unpersist()
+
+    def _absorb_events(self, events: DataFrame, batch: int, now: datetime) -> None:
+        """An event is replaced only by one added later."""
+        events = dedup.newest_in_batch(events.withColumn("arrival", _arrival()), ["event_id"], "date_added", "arrival").drop("arrival")
+        known = self.store.lookup("events", events, ["event_id"], ["event_id", "date_added"]).withColumnRenamed("date_added", "_known")
+        newer = F.col("_known").isNull() | (F.col("_known") < F.col("date_added"))
+        self.store.write_run("events", events.join(known, "event_id", "left").where(newer).drop("_known").withColumn("ingested_at", _moment(now)), batch)
+
+    def _absorb_articles(self, articles: DataFrame, batch: int, now: datetime) -> DataFrame:
+        """The batch's articles that are new, with their stories, written."""
+        in_order = F.concat_ws(":", F.lpad(F.lit(batch).cast("string"), 12, "0"), "_slot", F.lpad(F.col("row_no").cast("string"), 10, "0"))
+        articles = articles.withColumn("arrival", in_order).drop("row_no", "_slot")
+        fresh = dedup.first_by(articles, "url_hash", ["arrival"], self.store.lookup("articles", articles, ["url_hash"], ["url_hash"]))
+        fresh = fresh.withColumn("story_key", S.story_key(F.col("title"))).persist()
+        facts = ["story_key", "url_hash", "domain", "url", "published_at", "arrival"]
+        past = self.store.lookup("stories", fresh, ["story_key"])
+        both = past.select(*facts).unionByName(fresh.select(*facts)).withColumn("article_id", F.col("url_hash"))
+        stories = dedup.group_stories(both).select(F.col("article_id").alias("url_hash"), "story_id")
+        heads = past.select(F.col("url_hash").alias("story_id"), F.col("kept_from").alias("_head"))
+        # A copy is kept from when its main article came in, so that both go on the same day.
+        times = {"ingested_at": _moment(now), "kept_from": F.coalesce("_head", _moment(now))}
+        written = self.store.write_run("articles", fresh.join(stories, "url_hash").join(heads, "story_id", "left").withColumns(times), batch)
+        self.store.write_run("stories", written.select(*facts, "kept_from"), batch)
+        fresh.unpersist()
+        return written
+
+    def _absorb_mentions(self, mentions: DataFrame, batch: int, now: datetime) -> DataFrame:
+        """The batch's mentions that count, written: one is replaced if it was derived, or by one made later; what comes in is real."""
+        mentions = dedup.newest_in_batch(mentions.withColumn("arrival", _arrival()), MENTION_KEY, "mention_time", "arrival").drop("arrival")
+        known = self.store.lookup("mentions", mentions, MENTION_KEY, [*MENTION_KEY, "derived", "mention_time"]).select(*MENTION_KEY, F.col("derived").alias("_derived"), F.col("mention_time").alias("_known"))
+        newer = F.col("_known").isNull() | F.col("_derived") | (F.col("_known") < F.col("mention_time"))
+        real = mentions.join(known, MENTION_KEY, "left").where(newer).drop("_derived", "_known")
+        return self.store.write_run("mentions", real.withColumns({"derived": F.lit(False), "ingested_at": _moment(now)}), batch)
+
+    def _derive_mentions(self, real: DataFrame, fresh: DataFrame, batch: int, now: datetime) -> None:
+        """Mentions of main articles that follow from the batch's mentions of copies and from known mentions of its copies."""
+        told = ["url_hash", "url", "story_id"]
+        named = self.store.lookup("articles", real, ["url_hash"], told).unionByName(fresh.select(*told))
+        copies = fresh.where("story_id <> url_hash").select(*told)
+        earlier = self.store.lookup("mentions", copies, ["url_hash"], [*MENTION_KEY, "derived", "mention_time"])
+        sources = named.unionByName(copies).distinct().select("url_hash", F.col("story_id").alias("article_id"))
+        of_copies = real.select(*MENTION_KEY, "derived", "mention_time").unionByName(earlier).withColumn("ingested_at", F.col("mention_time"))
+        follow = dedup.derived_mentions(of_copies, sources).select("event_id", "url_hash", "derived", F.col("ingested_at").alias("mention_time")).persist()
+        there = self.store.lookup("mentions", follow, MENTION_KEY, MENTION_KEY).unionByName(real.select(*MENTION_KEY))
+        main = self.store.lookup("articles", follow, ["url_hash"], ["url_hash", "url"]).unionByName(fresh.select("url_hash", "url"))
+        derived = follow.join(there, MENTION_KEY, "left_anti").join(main, "url_hash")
+        blank = {"source_name": F.lit(None).cast("string"), "confidence": F.lit(None).cast("int"), "ingested_at": _moment(now)}
+        self.store.write_run("mentions", derived.withColumns(blank), batch, "d")
+        follow.unpersist()
+
+    def _absorb_dead(self, parsed: dict[str, DataFrame], batch: int) -> None:
+        dead = reduce(DataFrame.unionByName, map(parsers.dead_of, parsed.values())).dropDuplicates(DEAD_KEY)
+        known = self.store.lookup("dlq", dead, [], DEAD_KEY)
+        same = reduce(Column.__and__, [F.col(f"d.{c}").eqNullSafe(F.col(f"k.{c}")) for c in DEAD_KEY])
+        self.store.write_run("dlq", dead.alias("d").join(known.alias("k"), same, "left_anti"), batch)
+
+
+def _moment(now: datetime) -> Column:
+    return F.lit(now).cast("timestamp_ntz")
+
+
+def run_feed(raw: DataFrame, store: FeedStore, checkpoint: str, *, every: str | None = None, clock: Callable[[], datetime] | None = None) -> StreamingQuery:
+    """Absorb raw messages in micro-batches: all that are there, or new ones `every` interval without end. Offsets are
+    committed after the batch's writes, so a batch that broke off comes again under its number."""
+    stream = raw.writeStream.option("checkpointLocation", checkpoint)
+    stream = stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)
+    return stream.foreachBatch(lambda rows, n: store.absorb(rows, n, clock() if clock else None)).start()
 
 
 def push_frames(articles: DataFrame) -> DataFrame:
