@@ -1,21 +1,18 @@
 """Vector, keyword and hybrid search over titles and passages.
 
-Vector search is exact: one scan with column pruning, the filter before the distance, top-k by Spark's bounded heap. The
-keyword analyser is documented here and is not PostgreSQL's: lower-case words, English stop-words out, a light suffix
-stemmer; all positive terms must occur, quoted phrases in order, -terms must not, OR joins alternatives. Rank is the
-share of the text's words that are hits, damped by length.
+Exact vector search is one scan with column pruning, the filter before the distance, top-k by Spark's bounded heap. Keywords
+and their index are in textindex.py.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressmill.functions.scalars import STOP_WORDS, InvalidRequest
+from pressmill.functions.scalars import InvalidRequest
+from pressmill.operators import textindex
 from pressmill.operators.articles import top_per_group
+from pressmill.operators.textindex import TextIndex
 
 LEG_ORDER = ("vector", "body_vector", "keyword", "body_keyword")
 PASSAGE_CANDIDATES = 150
@@ -55,91 +52,19 @@ def passage_vector_leg(passages: DataFrame, articles: DataFrame, query: list[flo
 # --- keywords -------------------------------------------------------------------------
 
 
-def _stem(w: Column) -> Column:
-    w = F.regexp_replace(w, r"(?<=[a-z]{3})(?:'s|ies)$", "y")
-    w = F.regexp_replace(w, r"(?<=[a-z]{3})(?:ing|ed|es|s|ly)$", "")
-    return F.regexp_replace(w, r"(?<=[a-z]{3})[ey]$", "")
-
-
-def stem_word(w: str) -> str:
-    """The stemmer for query words, by the same rules."""
-    for pattern, to in ((r"(?<=[a-z]{3})(?:'s|ies)$", "y"), (r"(?<=[a-z]{3})(?:ing|ed|es|s|ly)$", ""), (r"(?<=[a-z]{3})[ey]$", "")):
-        w = re.sub(pattern, to, w)
-    return w
-
-
-def analysed(text: Column) -> Column:
-    """Stemmed words of a text in order; stop-words become empty so that phrases keep their distances."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}']*"), F.lit(0))
-    return F.transform(words, lambda w: F.when(w.isin(STOP_WORDS), F.lit("")).otherwise(_stem(w)))
-
-
-@dataclass(frozen=True)
-class KeywordQuery:
-    """Alternatives of (wanted phrases, unwanted phrases); a phrase is a tuple of stems."""
-
-    alternatives: tuple[tuple[tuple[tuple[str, ...], ...], tuple[tuple[str, ...], ...]], ...]
-
-    @staticmethod
-    def parse(text: str) -> KeywordQuery:
-        stop, groups, wanted, unwanted = set(STOP_WORDS), [], [], []
-        for minus, quoted, plain in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text):
-            if plain.lower() == "or" and not minus:
-                groups.append((tuple(wanted), tuple(unwanted)))
-                wanted, unwanted = [], []
-                continue
-            stems = tuple("" if w in stop else stem_word(w) for w in re.findall(r"[^\W_][^\W_']*(?:'[^\W_]+)?", (quoted or plain).lower()))
-            if any(stems):
-                (unwanted if minus else wanted).append(stems)
-        groups.append((tuple(wanted), tuple(unwanted)))
-        return KeywordQuery(tuple(g for g in groups if g[0]))
-
-    def stems(self) -> list[str]:
-        return sorted({s for wanted, _ in self.alternatives for p in wanted for s in p if s})
-
-
-def _has(tokens: Column, phrase: tuple[str, ...]) -> Column:
-    while phrase and not phrase[0]:
-        phrase = phrase[1:]
-    while phrase and not phrase[-1]:
-        phrase = phrase[:-1]
-    if len(phrase) == 1:
-        return F.array_contains(tokens, phrase[0])
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - len(phrase) + 1))
-    here = lambda k: F.forall(F.array(*[F.lit(j) for j, s in enumerate(phrase) if s]), lambda j: F.try_element_at(tokens, k + j) == F.element_at(F.array(*[F.lit(s) for s in phrase]), j + 1))
-    return F.exists(places, lambda k: F.coalesce(here(k), F.lit(False)))
-
-
-def keyword_leg(articles: DataFrame, text: str, limit: int, column: str = "title", key: str = "article_id", published: str = "published_at") -> DataFrame:
-    """Matching articles with their rank: best first, then newest, then id. An empty query matches nothing."""
-    q = KeywordQuery.parse(text)
-    if not q.alternatives:
-        return articles.withColumn("rank", F.lit(0.0)).where(F.lit(False))
-    stems = F.array(*[F.lit(s) for s in q.stems()])
-
-    def matches(tokens: Column) -> Column:
-        match = F.lit(False)
-        for wanted, unwanted in q.alternatives:
-            one = F.lit(True)
-            for p in wanted:
-                one = one & _has(tokens, p)
-            for p in unwanted:
-                one = one & ~_has(tokens, p)
-            match = match | one
-        return match
-
-    def rank(tokens: Column) -> Column:
-        hits = F.size(F.filter(tokens, lambda t: F.array_contains(stems, t)))
-        return F.round(hits / (1 + F.log(F.size(tokens) + 1.0)), 9)
-
-    # As a lambda's argument the analysed text is worked out once a row, however often the match names it.
-    text_tokens = F.array(analysed(F.col(column)))
-    found = articles.where(F.exists(text_tokens, matches)).withColumn("rank", F.element_at(F.transform(text_tokens, rank), 1))
-    return found.orderBy(F.desc("rank"), F.desc(published), F.asc(key)).limit(limit)
-
-
-def passage_keyword_leg(passages: DataFrame, articles: DataFrame, text: str, limit: int, candidates: int = PASSAGE_CANDIDATES) -> DataFrame:
-    found = keyword_leg(passages.join(articles.select("article_id", "published_at"), "article_id"), text, candidates, column="passage")
+def keyword_leg(articles: DataFrame, text: str, limit: int, column: str = "title", key: str = "article_id", published: str = "published_at", index: TextIndex | None = None) -> DataFrame:
+    """Matching articles with their rank: best first, then newest, then id. An empty query matches nothing.
+
+    With an index no text is analysed; without one every text of `articles` is."""
+    hits = index.search(text, limit, articles) if index else textindex.scan(articles, text, limit, column=column, key=key, published=published)
+    # At most `limit` rows.
+    return articles.join(F.broadcast(hits.select(key, "rank")), key).orderBy(F.desc("rank"), F.desc(published), F.asc(key)).limit(limit)
+
+
+def passage_keyword_leg(passages: DataFrame, articles: DataFrame, text: str, limit: int, candidates: int = PASSAGE_CANDIDATES, index: TextIndex | None = None) -> DataFrame:
+    """The best matching passage of every article. An index of passages has the key passage_id: (article_id, idx)."""
+    rows = passages.join(articles.select("article_id", "published_at"), "article_id").withColumn("passage_id", F.struct("article_id", "idx"))
+    found = keyword_leg(rows, text, candidates, column="passage", key="passage_id", index=index)
     return fold_passages(found, [F.desc("rank"), F.desc("published_at"), F.asc("article_id"), F.asc("idx")], limit)
 
 
@@ -179,7 +104,7 @@ class EmbeddingUnavailable(RuntimeError):
     """The query cannot be embedded now."""
 
 
-def semantic_search(articles: DataFrame, text: str, embed_query, *, mode: str = "hybrid", scope: str = "titles", passages: DataFrame | None = None, model: str | None = None, limit: int = 20, candidates: int = 50, k: int = 60, max_query: int = 500) -> tuple[DataFrame, bool]:
+def semantic_search(articles: DataFrame, text: str, embed_query, *, mode: str = "hybrid", scope: str = "titles", passages: DataFrame | None = None, model: str | None = None, limit: int = 20, candidates: int = 50, k: int = 60, max_query: int = 500, title_index: TextIndex | None = None, passage_index: TextIndex | None = None) -> tuple[DataFrame, bool]:
     """(hits, degraded): id, score, matched_by, passage. articles are already filtered.
 
     Vector mode over one leg scores by cosine, everything else by fusion. If the query cannot be embedded, vector mode
@@ -210,9 +135,9 @@ def semantic_search(articles: DataFrame, text: str, embed_query, *, mode: str =
             legs["body_vector"] = ranked(hits["body_vector"], near, "body_vector")
     if mode == "hybrid":
         if titles:
-            legs["keyword"] = ranked(keyword_leg(articles, text, depth), good, "keyword")
+            legs["keyword"] = ranked(keyword_leg(articles, text, depth, index=title_index), good, "keyword")
         if body:
-            hits["body_keyword"] = passage_keyword_leg(passages, articles, text, depth)
+            hits["body_keyword"] = passage_keyword_leg(passages, articles, text, depth, index=passage_index)
             legs["body_keyword"] = ranked(hits["body_keyword"], good, "body_keyword")
     names = [n for n in LEG_ORDER if n in legs]
     if mode == "vector" and len(names) == 1:

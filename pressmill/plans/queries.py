@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pressmill.functions import scalars as S
 from pressmill.operators import articles as A
-from pressmill.operators import dedup, digest, evalset, filters, merge, passages, search
+from pressmill.operators import dedup, digest, evalset, filters, merge, passages, search, textindex
 from pressmill.plans import bindings as B
 from pressmill.plans.bindings import ARRIVALS, ARTICLES, EVENTS, MENTIONS, TEXTS, VECTORS, moment, sql_moment
 from pressmill.sources import slots, web
@@ -549,9 +549,62 @@ def rrf_fuse(t):
     return search.fuse(legs).select("id", F.round("score", 9).alias("score"), F.array_join("matched_by", ",").alias("matched_by"))
 
 
+def _title_index(t, analyzer: str = "english"):
+    path = f"{t.spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    return textindex.TextIndex.build(B.texts(t), path, text="title", key="article_id", published="published_at", analyzer=analyzer)
+
+
 @query()
 def keyword_leg_ranked(t):
-    return search.keyword_leg(B.texts(t), 'the with -zzz OR "de la"', 50).select("article_id", "rank")
+    return search.keyword_leg(B.texts(t), 'the with -zzz OR "de la"', 50, index=_title_index(t)).select("article_id", F.round("rank", 9).alias("rank"))
+
+
+_WORDS = r"""w AS (SELECT doc_id, published_at, unnest(list_zip(l, range(1, len(l) + 1))) AS z FROM
+    (SELECT article_id AS doc_id, published_at, regexp_extract_all(lower(body), '[\p{L}\p{N}][\p{L}\p{N}'']*') AS l FROM texts WHERE body IS NOT NULL)),
+  hit AS (SELECT doc_id, published_at, z[1] AS term, CAST(z[2] AS INTEGER) AS place, row_number() OVER (PARTITION BY doc_id, z[1] ORDER BY z[2]) AS j FROM w WHERE z[1] IN (@))"""
+
+
+def _body_index(t):
+    path = f"{t.spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    return textindex.TextIndex.build(B.texts(t), path, text="body", key="article_id", published="published_at", analyzer="simple", texts_per_block=256)
+
+
+def _hits(found):
+    return found.select("article_id", F.round("rank", 9).alias("rank"))
+
+
+@query(f"""WITH {TEXTS}, {_WORDS.replace("@", "'idiot', 'license', 'the'")}
+  SELECT doc_id AS article_id, round(sum(1 / (j * j)) * 0.1 / 1.64493406685 / 3, 9) AS rank FROM hit WHERE j <= 256 AND place <= 16383 GROUP BY doc_id, published_at ORDER BY sum(1 / (j * j)) DESC, published_at DESC, doc_id LIMIT 200""")
+def keyword_index_any(t):
+    return _hits(_body_index(t).search("license or idiot or the", 200))
+
+
+_PAIRS = """pair AS (SELECT a.doc_id, a.published_at, greatest(1 - exp(sum(ln(1 - CASE WHEN abs(a.place - b.place) <= 100 THEN 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(a.place - b.place) / 1.5 - 2))) ELSE 0 END))), 1e-20) AS rank
+    FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.term < b.term AND a.j <= 256 AND b.j <= 256 AND a.place <= 16383 AND b.place <= 16383 GROUP BY a.doc_id, a.published_at)"""
+
+
+@query(f"""WITH {TEXTS}, {_WORDS.replace("@", "'license', 'under', 'apache'")}, {_PAIRS}
+  SELECT doc_id AS article_id, round(rank, 9) AS rank FROM pair JOIN (SELECT doc_id FROM hit GROUP BY doc_id HAVING count(DISTINCT term) FILTER (term <> 'apache') = 2 AND count(*) FILTER (term = 'apache') = 0) USING (doc_id)
+  ORDER BY 2 DESC, published_at DESC, doc_id LIMIT 100""")
+def keyword_index_all(t):
+    return _hits(_body_index(t).search("license under -apache", 100))
+
+
+@query(f"""WITH {TEXTS}, {_WORDS.replace("@", "'all', 'rights', 'reserved'")}, {_PAIRS}
+  SELECT doc_id AS article_id, round(rank, 9) AS rank FROM pair WHERE doc_id IN (SELECT a.doc_id FROM hit a JOIN hit b ON b.doc_id = a.doc_id AND b.place = a.place + 1 JOIN hit c ON c.doc_id = a.doc_id AND c.place = a.place + 2
+    WHERE a.term = 'all' AND b.term = 'rights' AND c.term = 'reserved') ORDER BY 2 DESC, published_at DESC, doc_id LIMIT 100""")
+def keyword_index_phrase(t):
+    return _hits(_body_index(t).search('"all rights reserved"', 100))
+
+
+@query()
+def passage_keyword_fold(t):
+    """Lines as passages, through an index of them."""
+    rows = B.texts(t).select("article_id", "published_at", F.posexplode(F.split(F.coalesce("body", F.lit("")), "\n")).alias("idx", "passage"))
+    path = f"{t.spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    index = textindex.TextIndex.build(rows.withColumn("passage_id", F.struct("article_id", "idx")), path, text="passage", key="passage_id", published="published_at")
+    legs = search.passage_keyword_leg(rows.drop("published_at"), B.texts(t), "licensed or rights", 50, index=index)
+    return legs.select("article_id", "idx", F.round("rank", 9).alias("rank"))
 
 
 @query()
