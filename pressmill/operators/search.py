@@ -30,10 +30,16 @@ def cosine_distance(v: Column, query: list[float]) -> Column:
     return F.when((norm > 0) & F.lit(norm_q > 0), 1 - dot(v, q) / (norm * norm_q))
 
 
-def vector_leg(articles: DataFrame, query: list[float], limit: int, model: str | None = None, key: str = "article_id") -> DataFrame:
-    """Nearest articles as (key, distance, similarity, ...), nearest first, ids break ties."""
+def vector_leg(articles: DataFrame, query: list[float], limit: int, model: str | None = None, key: str = "article_id", index=None) -> DataFrame:
+    """Nearest articles as (key, distance, similarity, ...), nearest first, ids break ties: exactly, or through a VectorIndex,
+    which holds `limit` of them under any filter and nearly always the nearest."""
     if model is not None:
         articles = articles.where(F.col("embedding_model") == model)
+    if index is not None:
+        asked = articles.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query int, embedding array<double>")
+        hits = index.search(asked, limit, among=articles.where("embedding is not null")).select(key, "distance")
+        found = articles.join(F.broadcast(hits), key)  # at most `limit` rows
+        return found.withColumn("similarity", 1 - F.col("distance")).orderBy("distance", key).limit(limit)
     scored = articles.where("embedding is not null").withColumn("distance", cosine_distance(F.col("embedding"), query)).where("distance is not null")
     return scored.withColumn("similarity", 1 - F.col("distance")).orderBy("distance", key).limit(limit)
 
@@ -43,9 +49,11 @@ def fold_passages(candidates: DataFrame, order: list, limit: int, key: str = "ar
     return top_per_group(candidates, key, order, 1).orderBy(*order).limit(limit)
 
 
-def passage_vector_leg(passages: DataFrame, articles: DataFrame, query: list[float], limit: int, candidates: int = PASSAGE_CANDIDATES, model: str | None = None) -> DataFrame:
-    """passages (article_id, idx, passage, embedding); articles (article_id, published_at), already filtered."""
-    near = vector_leg(passages.join(articles.select("article_id", "published_at"), "article_id"), query, candidates, model)
+def passage_vector_leg(passages: DataFrame, articles: DataFrame, query: list[float], limit: int, candidates: int = PASSAGE_CANDIDATES, model: str | None = None, index=None) -> DataFrame:
+    """passages (article_id, idx, passage, embedding); articles (article_id, published_at), already filtered. An index of
+    passages has the key passage_id: (article_id, idx)."""
+    rows = passages.join(articles.select("article_id", "published_at"), "article_id").withColumn("passage_id", F.struct("article_id", "idx"))
+    near = vector_leg(rows, query, candidates, model, key="passage_id", index=index)
     return fold_passages(near, [F.asc("distance"), F.asc("article_id"), F.asc("idx")], limit)
 
 
@@ -104,7 +112,7 @@ class EmbeddingUnavailable(RuntimeError):
     """The query cannot be embedded now."""
 
 
-def semantic_search(articles: DataFrame, text: str, embed_query, *, mode: str = "hybrid", scope: str = "titles", passages: DataFrame | None = None, model: str | None = None, limit: int = 20, candidates: int = 50, k: int = 60, max_query: int = 500, title_index: TextIndex | None = None, passage_index: TextIndex | None = None) -> tuple[DataFrame, bool]:
+def semantic_search(articles: DataFrame, text: str, embed_query, *, mode: str = "hybrid", scope: str = "titles", passages: DataFrame | None = None, model: str | None = None, limit: int = 20, candidates: int = 50, k: int = 60, max_query: int = 500, title_index: TextIndex | None = None, passage_index: TextIndex | None = None, title_vectors=None, passage_vectors=None) -> tuple[DataFrame, bool]:
     """(hits, degraded): id, score, matched_by, passage. articles are already filtered.
 
     Vector mode over one leg scores by cosine, everything else by fusion. If the query cannot be embedded, vector mode
@@ -128,10 +136,10 @@ def semantic_search(articles: DataFrame, text: str, embed_query, *, mode: str =
     hits: dict[str, DataFrame] = {}
     if vector is not None:
         if titles:
-            hits["vector"] = vector_leg(articles, vector, depth, model)
+            hits["vector"] = vector_leg(articles, vector, depth, model, index=title_vectors)
             legs["vector"] = ranked(hits["vector"], near, "vector")
         if body:
-            hits["body_vector"] = passage_vector_leg(passages, articles, vector, depth, model=model)
+            hits["body_vector"] = passage_vector_leg(passages, articles, vector, depth, model=model, index=passage_vectors)
             legs["body_vector"] = ranked(hits["body_vector"], near, "body_vector")
     if mode == "hybrid":
         if titles:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pressmill.functions import scalars as S
 from pressmill.operators import articles as A
 from pressmill.operators import dedup, digest, evalset, filters, merge, passages, search, textindex
+from pressmill.operators.vectorindex import VectorIndex
 from pressmill.plans import bindings as B
 from pressmill.plans.bindings import ARRIVALS, ARTICLES, EVENTS, MENTIONS, TEXTS, VECTORS, moment, sql_moment
 from pressmill.sources import slots, web
@@ -531,6 +532,42 @@ def vector_topk_filtered(t):
     return search.vector_leg(rows, B.query_vector(t), 10, model="2").select("article_id", F.round("distance", 6).alias("distance"))
 
 
+def _vector_index(t):
+    """(index of all vectors, the queries: every vector whose id is divisible by 20)."""
+    path = f"{t.spark.sparkContext.getCheckpointDir()}/vectors-{uuid.uuid4().hex}"
+    rows = B.vectors(t)
+    return VectorIndex.build(rows, path), rows.where("article_id % 20 = 0").select(F.col("article_id").alias("query"), "embedding")
+
+
+_NEAREST = """SELECT q.vec_id AS query, e.vec_id AS article_id, 1 - list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS d
+    FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0"""
+
+
+@query(f"SELECT query, article_id, round(d, 4) AS distance, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY round(d, 7), article_id) AS INTEGER) AS place FROM ({_NEAREST})) WHERE place <= 10")
+def vector_index_exact(t):
+    """Lists are read until none that is left can hold a nearer vector."""
+    index, queries = _vector_index(t)
+    return index.search(queries, 10, exact=True).select("query", "article_id", F.round("distance", 4).alias("distance"), "place")
+
+
+@query("SELECT vec_id AS query, least(10, (SELECT count(*) FROM embeddings WHERE label = 2 AND vec_id % 3 = 0)) AS found, 0 AS strangers FROM embeddings WHERE vec_id % 20 = 0")
+def vector_index_filtered(t):
+    """A filter leaves few rows, and still every query is full."""
+    index, queries = _vector_index(t)
+    among = B.vectors(t).where("embedding_model = '2' AND article_id % 3 = 0")
+    found = index.search(queries, 10, among=among).join(among.select("article_id", F.lit(0).alias("known")), "article_id", "left")
+    return found.groupBy("query").agg(F.count("*").alias("found"), F.count_if(F.col("known").isNull()).cast("int").alias("strangers"))
+
+
+@query("SELECT count(*) AS queries, true AS recall_reached FROM embeddings WHERE vec_id % 20 = 0")
+def vector_index_recall(t):
+    """Whether the index finds 0.95 or more of the ten nearest, against the exact search over all vectors."""
+    index, queries = _vector_index(t)
+    true, got = index.search(queries, 10, exact=True), index.search(queries, 10)
+    both = true.select("query", "article_id").join(got.select("query", "article_id", F.lit(1).alias("hit")), ["query", "article_id"], "left")
+    return both.agg(F.count_distinct("query").alias("queries"), (F.count("hit") / F.count("*") >= 0.95).alias("recall_reached"))
+
+
 @query(f"""WITH {VECTORS}, c AS (SELECT article_id // 4 AS a, article_id % 4 AS idx, {_DIST} AS d FROM vectors ORDER BY d, article_id LIMIT 150)
   SELECT a AS article_id, idx, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, idx) AS k FROM c) WHERE k = 1 ORDER BY d, a LIMIT 20""")
 def best_passage_fold(t):
