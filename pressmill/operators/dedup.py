@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,25 +48,29 @@ _STORY = "article_id string, story_id string, outcome string"
 
 
 def _assign(window: timedelta):
-    """Walks one story key in arrival order. Each story of the key keeps the pages it holds of every domain."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        stories: list[dict] = []
-        out = []
-        for row in pdf.sort_values(["arrival", "article_id"]).itertuples(index=False):
-            domain = None if pd.isna(row.domain) else row.domain
-            for story in stories:
-                near = abs(row.published_at - story["published_at"]) <= window
-                if near and (domain is None or story["pages"].get(domain, {row.signature}) == {row.signature}):
-                    break
-            else:
-                story = {"id": row.article_id, "published_at": row.published_at, "pages": {}, "order": len(stories)}
-                stories.append(story)
-                stories.sort(key=lambda s: (s["published_at"], s["order"]))
-            if domain is not None:
-                story["pages"].setdefault(domain, set()).add(row.signature)
-            out.append((row.article_id, story["id"], "canonical" if story["id"] == row.article_id else "grouped"))
-        return pd.DataFrame(out, columns=["article_id", "story_id", "outcome"])
+    """Stories of rows that come island by island in order of arrival; only the current island's stories are held, each with
+    the pages that it has of every domain."""
+    reach = int(window.total_seconds() * 1e6)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        island, stories = None, []  # by time, then in order of their start
+        for batch in batches:
+            ids, outcomes = [], []
+            columns = [batch.column(c).to_pylist() for c in ("story_key", "island", "article_id", "domain", "signature", "at")]
+            for key, part, article_id, domain, signature, at in zip(*columns, strict=True):
+                if (key, part) != island:
+                    island, stories = (key, part), []
+                near = () if at is None else range(bisect_left(stories, (at - reach,)), bisect_right(stories, (at + reach, len(stories))))
+                story = next((stories[k] for k in near if domain is None or stories[k][3].get(domain, {signature}) == {signature}), None)
+                if story is None:
+                    story = (at, len(stories), article_id, {})
+                    if at is not None:
+                        insort(stories, story, key=lambda s: s[:2])
+                if domain is not None:
+                    story[3].setdefault(domain, set()).add(signature)
+                ids.append(story[2])
+                outcomes.append("canonical" if story[2] == article_id else "grouped")
+            yield pa.RecordBatch.from_arrays([batch.column("article_id"), pa.array(ids, pa.string()), pa.array(outcomes, pa.string())], ["article_id", "story_id", "outcome"])
 
     return walk
 
@@ -76,7 +82,8 @@ def group_stories(articles: DataFrame, window: timedelta = STORY_WINDOW) -> Data
     An article joins the earliest story of its key within the window of that story's first article, unless its domain is
     there with another page; else it starts a story. Stories never cross keys, so keys are independent. A key whose rows
     all fall within the window and have a domain each is decided without leaving the JVM: it is one story.
-    Rows further apart than the window never meet, so a key falls apart at gaps in time; a null key is a story of its own."""
+    Rows further apart than the window never meet, so a key falls apart at gaps in time; a row without a key or a time is a
+    story of its own."""
     # Kept once: four branches read these rows, and their keys may come from a Python step.
     wanted = articles.select("article_id", "story_key", "domain", "published_at", "arrival", S.page_signature(F.col("url")).alias("signature"))
     rows = first_by(wanted, "article_id", ["arrival"]).checkpoint()
@@ -94,7 +101,10 @@ def group_stories(articles: DataFrame, window: timedelta = STORY_WINDOW) -> Data
     gap = F.coalesce((F.col("published_at") - F.lag("published_at").over(by_time) > span).cast("int"), F.lit(0))
     hard = rows.where(~simple).select("story_key", "article_id", "domain", "signature", "published_at", "arrival").withColumn("gap", gap)
     hard = hard.withColumn("island", F.sum("gap").over(by_time.rowsBetween(Window.unboundedPreceding, 0))).drop("gap")
-    return easy.unionByName(hard.groupBy("story_key", "island").applyInPandas(_assign(window), _STORY)).unionByName(own)
+    at = F.unix_micros(F.col("published_at").cast("timestamp")).alias("at")
+    placed = hard.select("story_key", "island", "article_id", "domain", "signature", at, "arrival").repartition("story_key", "island")
+    walked = placed.sortWithinPartitions("story_key", "island", "arrival", "article_id").mapInArrow(_assign(window), _STORY)
+    return easy.unionByName(walked).unionByName(own)
 
 
 def batch_counters(outcomes: DataFrame, total: DataFrame, dead: DataFrame) -> DataFrame:
