@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.functions.scalars import InvalidRequest, check_negativity
+from pressmill.operators.patterns import holding
 
 
 @dataclass(frozen=True)
@@ -94,24 +94,52 @@ def subscription(spec: dict) -> ArticleFilter:
     return ArticleFilter(**{f.name: spec.get(f.name) for f in fields(ArticleFilter) if f.name in _SUBSCRIBABLE})
 
 
-def match_subscriptions(articles: DataFrame, subscriptions: DataFrame, max_bytes: int = 8 << 20) -> DataFrame:
+def match_subscriptions(articles: DataFrame, subscriptions: DataFrame, key: str = "article_id") -> DataFrame:
     """(subscription_id, articles.*) for every match of many filters (subscription_id, theme, domain, text, min_negativity).
 
-    Filters that name a domain are joined on it; only the rest are compared with every article, in blocks of about `max_bytes`
-    that are sent to where the articles are."""
-    s = subscriptions.select("subscription_id", F.col("theme").alias("f_theme"), F.col("domain").alias("f_domain"), F.col("text").alias("f_text"), F.col("min_negativity").cast("float").alias("f_tone"))
+    Each filter is filed under one of its conditions: the domain, theme or beginning of a theme that the fewest articles have,
+    else its text, else its least tone. An article is looked up under what it has, all by equality: its domain, its themes,
+    their beginnings of the lengths that are asked for, the texts that it holds (by one automaton), the whole tones up to its
+    own. What is found meets its other conditions then, so no filter is compared with articles at large. Ids are unique."""
+    s = subscriptions.select("subscription_id", F.col("theme").alias("f_theme"), F.col("domain").alias("f_domain"), F.lower("text").alias("f_text"), F.col("min_negativity").cast("float").alias("f_tone"))
     prefix = F.col("f_theme").endswith("*")
+    start = F.expr("substring(f_theme, 1, length(f_theme) - 1)")
+    theme = F.when(prefix, F.struct(F.lit("prefix").alias("kind"), start.alias("value"))).when(~prefix, F.struct(F.lit("theme").alias("kind"), F.col("f_theme").alias("value")))
+    domain = F.when(F.col("f_domain").isNotNull(), F.struct(F.lit("domain").alias("kind"), F.col("f_domain").alias("value")))
+    lengths = [r[0] for r in s.where(prefix).select(F.length(start)).distinct().collect()]  # a few numbers
+
+    def labels(kind: str, values: Column) -> Column:
+        return F.transform(F.array_distinct(F.coalesce(values, F.array().cast("array<string>"))), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    begun = [F.transform(F.filter("themes", _as_long_as(n)), _start_of(n)) for n in lengths]
+    has = F.concat(labels("domain", F.array("domain")), labels("theme", F.col("themes")), labels("prefix", F.concat(*begun) if begun else F.array().cast("array<string>")))
+    had = articles.select(key, F.explode(has).alias("c")).select(key, "c.kind", "c.value")
+    asked = s.select("subscription_id", F.explode(F.array_compact(F.array(domain, theme))).alias("c")).select("subscription_id", "c.kind", "c.value")
+    common = had.join(asked.select("kind", "value").distinct(), ["kind", "value"], "left_semi").groupBy("kind", "value").agg(F.count("*").alias("n"))
+    rarity = F.struct(F.coalesce("n", F.lit(0)), "kind")
+    filed = asked.join(common, ["kind", "value"], "left").groupBy("subscription_id").agg(F.min_by(F.struct("kind", "value"), rarity).alias("c")).select("subscription_id", "c.kind", "c.value")
+    met = had.join(filed, ["kind", "value"]).select("subscription_id", key)
+
+    free = s.where("f_domain IS NULL AND f_theme IS NULL")
+    by_text = holding(articles.select(F.col(key).alias("text_id"), F.lower("title").alias("text")), free.where("f_text <> ''").select(F.col("subscription_id").alias("pattern_id"), F.col("f_text").alias("pattern")))
+    by_text = by_text.select(F.col("pattern_id").alias("subscription_id"), F.col("text_id").alias(key))
+    # Tones run from 0 to 100, a filter without one or below 0 stands under -1, as every article does.
+    whole = lambda c: F.least(F.greatest(F.floor(c), F.lit(-1)), F.lit(100)).cast("int")
+    by_tone = free.where("f_text IS NULL OR f_text = ''").select("subscription_id", F.coalesce(whole(F.col("f_tone")), F.lit(-1)).alias("step"))
+    steps = articles.select(key, F.explode(F.sequence(F.lit(-1), F.coalesce(whole(F.col("tone_neg")), F.lit(-1)))).alias("step"))
+    met = met.unionByName(by_text).unionByName(steps.join(by_tone, "step").select("subscription_id", key))
+
     theme_ok = F.col("f_theme").isNull() | F.when(prefix, F.expr("exists(themes, t -> startswith(t, substring(f_theme, 1, length(f_theme) - 1)))")).otherwise(F.expr("array_contains(themes, f_theme)"))
-    text_ok = F.col("f_text").isNull() | F.contains(F.lower("title"), F.lower("f_text"))
-    tone_ok = F.col("f_tone").isNull() | (F.col("tone_neg") >= F.col("f_tone"))
-    ok = theme_ok & text_ok & tone_ok
-    with_domain = articles.join(s.where("f_domain is not null"), (F.col("domain") == F.col("f_domain")) & ok)
-    rest = s.where("f_domain is null")
-    size = rest.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
-    blocks = max(1, -(-size // max_bytes))
-    part = lambda k: rest.where(F.pmod(F.xxhash64("subscription_id"), F.lit(blocks)) == k)
-    anywhere = reduce(DataFrame.unionByName, [articles.join(F.broadcast(part(k)), ok) for k in range(blocks)])
-    return with_domain.unionByName(anywhere).select("subscription_id", *articles.columns)
+    ok = theme_ok & (F.col("f_domain").isNull() | (F.col("domain") == F.col("f_domain"))) & (F.col("f_text").isNull() | F.contains(F.lower("title"), "f_text")) & (F.col("f_tone").isNull() | (F.col("tone_neg") >= F.col("f_tone")))
+    return met.join(s, "subscription_id").join(articles, key).where(ok).select("subscription_id", *articles.columns)
+
+
+def _as_long_as(n: int):
+    return lambda t: F.length(t) >= n
+
+
+def _start_of(n: int):
+    return lambda t: F.substring(t, 1, n)
 
 
 def visible_agents(agents: DataFrame, role: str, user_id) -> DataFrame:
