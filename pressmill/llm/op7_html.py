@@ -61,7 +61,7 @@ BAD_WORDS = re.compile(r"\bads?\b|advert|sponsor|promo|banner|nav|menu|sidebar|s
 
 _NAME = re.compile(r"</?([a-zA-Z][^\s/<>]*)")
 _PLAIN = re.compile(r"[^>\"']*")
-_OWN_TAGS = {name: re.compile(rf"<(/?){name}(?=[\s/>])", re.I) for name in HIDDEN}
+_OWN_TAGS = {name: re.compile(rf"<(/?){name}(?=[\s/>])" if name in RAW else rf"(?s:<!--(?:.*?-->|.*))|<(/?){name}(?=[\s/>])", re.I) for name in HIDDEN}
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -77,6 +77,7 @@ class Markup:
     def __init__(self, html: str):
         self.html, self.last_end = html, html.rfind(">")
         self.absent: set[str] = set()
+        self.spans: dict[str, dict[int, int]] = {}
         self.open_ended: set[int] = set()  # places outside quotes from which no tag ends
 
     def _find(self, what: str, at: int) -> int:
@@ -117,20 +118,40 @@ class Markup:
             at = first + 1
         return None
 
-    def hidden_end(self, name: str, at: int) -> int:
-        """Where the text hidden by an element ends; `at` itself if the element hides none."""
+    def hidden_end(self, name: str, first: int, at: int) -> int:
+        """Where the text hidden by an element ends whose tag begins at `first` and ends at `at`; `at` if it hides none."""
         html = self.html
+        if name not in RAW:
+            if name not in self.spans:
+                self.spans[name] = self._spans(name)
+            return self.spans[name].get(first, at)
         if "/" + name in self.absent:
-            return len(html) if name in RAW else at
+            return len(html)
         m = _OWN_TAGS[name].search(html, at)
-        while m and name in RAW and not m[1]:
+        while m and not m[1]:
             m = _OWN_TAGS[name].search(html, m.end())
         if m is None:
             self.absent.add("/" + name)
-            return len(html) if name in RAW else at
-        end = self._find(">", m.end()) if m[1] else -1
+            return len(html)
+        end = self._find(">", m.end())
         return end + 1 if end >= 0 else at
 
+    def _spans(self, name: str) -> dict[int, int]:
+        """Of every element of a name that is closed, where it begins and ends, elements of the same name inside it counted."""
+        html, open_, spans = self.html, [], {}
+        for m in _OWN_TAGS[name].finditer(html):
+            if m[1] is None:
+                continue
+            end = self._tag_end(m.end())
+            if end < 0:
+                continue
+            if not m[1]:
+                if html[end - 1] != "/":
+                    open_.append(m.start())
+            elif open_:
+                spans[open_.pop()] = end + 1
+        return spans
+
 
 class Page:
     """Blocks in page order (a parent before its children): parent, kind, hint words, and runs of text with their block."""
@@ -178,7 +199,7 @@ class Page:
                 continue
             if name in HIDDEN and not closing:
                 if not attributes.endswith("/") or name in RAW:
-                    at = markup.hidden_end(name, at)
+                    at = markup.hidden_end(name, start, at)
                 if name == "button" or name == "select":
                     piece.append(" ")
                 continue

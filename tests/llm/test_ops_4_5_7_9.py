@@ -237,3 +237,21 @@ def test_recall_of_reworded_items_by_length(least, most):
                 wanted += 1
                 found += any(h[0] == k for h in s.search(" ".join(host[:150] + v + host[150:300])))
     assert wanted > 150 and found >= 0.95 * wanted
+
+
+@pytest.mark.parametrize(
+    ("html", "runs"),
+    [
+        ("<p>a<svg><svg></svg><text>no</text></svg>b</p>", ["ab"]),
+        ("<p>x<noscript>no<noscript>no</noscript>no</noscript>y", ["xy"]),
+        ("<p>a<select><option>no</option><select></select></select>b", ["a b"]),
+        ("<p>a<button>no<button>no</button>no</button>b", ["a b"]),
+        ("<p>a<svg><!-- </svg> -->no</svg>b", ["ab"]),
+        ("<p>a<svg/>b<svg>no</svg>c", ["abc"]),
+        ("<p>a<svg>open<svg>no</svg>c", ["aopenc"]),
+        ("<p>a</svg>b", ["ab"]),
+        ("<svg>" * 3000 + "<p>still there", ["still there"]),
+    ],
+)
+def test_op7_hidden_elements_nest(html, runs):
+    assert [text for _, text in op7_html.Page(html).runs] == runs
