@@ -6,12 +6,13 @@ used; the gradient of their likelihood through the noisy-or spreads blame over s
 locate what offends.
 
 Fitting uses a bounded sample: at most PER_CLASS labelled documents of each label, taken in the order of a hash of their
-id among those outside the held-out fold, and reweighted to the label counts of all labelled documents. Scoring reads
-every whole text.
+id among those outside the held-out fold, without those of more than CHARS_FITTED characters, and reweighted to the label
+counts of all labelled documents. Scoring reads every whole text.
 
 Nulls, empties, ties: a null or empty text is one empty sentence and scores the base rate; a null label is no label; of
-repeated labels of one document the highest counts; repeated documents get equal scores; without any usable label every
-score is 0; an empty table gives an empty result. Columns other than doc_id and text are never looked at.
+repeated labels of one document the highest counts; of texts that share an id the first in order is fitted on; repeated
+documents get equal scores; without any usable label every score is 0, and where all labels are alike it is that label; an
+empty table gives an empty result. Columns other than doc_id and text are never looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pressmill.llm.common import ship, table, text_or_empty
 
-PER_CLASS, ROUNDS, RATE, DECAY = 3000, 300, 0.1, 0.02
+PER_CLASS, CHARS_FITTED, ROUNDS, RATE, DECAY = 3000, 100_000, 300, 0.1, 0.02
 SENTENCE_END = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"\w+")
 WEIGHT_CACHE = 1_000_000
@@ -128,16 +129,25 @@ def _telling(of_word: np.ndarray, docs: np.ndarray, words: np.ndarray, n_names:
     return (ratio > 2 * np.log(n_names)) & (has[1] * totals[0] > has[0] * totals[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fit on a bounded sample of the labelled documents outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars: int = CHARS_FITTED) -> Model:
+    """Fit on a bounded sample of the labelled documents outside the held-out fold, in one task: the driver holds the weights only."""
+    ship(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    prior = (counts.get(0, 0), counts.get(1, 0))
     picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    # 2 * per_class ids at most, so the broadcast is bounded whatever the corpus.
-    sample = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").dropDuplicates(["doc_id"])
-    rows = sorted((r.doc_id, r.toxic, r.text) for r in sample.collect())
-    return fit([r[2] for r in rows], [r[1] for r in rows], (counts.get(0, 0), counts.get(1, 0)))
+    # 2 * per_class ids at most, so the broadcast is bounded whatever the corpus; so is the sample, by `chars` a document.
+    short = docs.select("doc_id", text_or_empty("text").alias("text")).where(F.length("text") <= chars)
+    sample = short.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("one", F.lit(0))
+
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "toxic"])
+        model = fit(rows.text.tolist(), rows.toxic.tolist(), prior)
+        return pd.DataFrame({"name": ["", *model.weights], "weight": [model.base, *model.weights.values()]})
+
+    weights = {r.name: r.weight for r in sample.groupBy("one").applyInPandas(fitted, "name string, weight double").collect()}
+    return Model(weights.pop("", -30.0), weights)
 
 
 def held_out(doc_id):
