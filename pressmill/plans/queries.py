@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -15,7 +14,7 @@ from pressmill.operators import dedup, digest, evalset, filters, merge, passages
 from pressmill.operators.vectorindex import VectorIndex
 from pressmill.plans import bindings as B
 from pressmill.plans.bindings import ARRIVALS, ARTICLES, EVENTS, MENTIONS, TEXTS, VECTORS, moment, sql_moment
-from pressmill.sources import slots, web
+from pressmill.sources import layout, slots, web
 from pressmill.streaming import feed
 
 QUERIES: dict[str, Callable] = {}
@@ -92,6 +91,28 @@ def keyset_page(t):
     return filters.newest_first(a.where(filters.before_key(datetime(1998, 1, 1), 4000)), 200).select(*page_columns())
 
 
+def _by_time(t):
+    order = [layout.By("published_at", descending=True), layout.By("article_id")]
+    return layout.OrderedTable.write(B.articles(t), layout.scratch(t.spark, "articles"), order, zoned=["tone_neg"], rows_per_file=2000)
+
+
+@query(f"WITH {ARTICLES} SELECT {SQL_PAGE} FROM articles WHERE published_at < TIMESTAMP '1997-05-01' OR (published_at = TIMESTAMP '1997-05-01' AND article_id > 4000) ORDER BY published_at DESC, article_id LIMIT 200")
+def ordered_keyset_page(t):
+    return _by_time(t).page(200, behind=(datetime(1997, 5, 1), 4000)).select(*page_columns())
+
+
+@query(f"WITH {ARTICLES} SELECT {SQL_PAGE} FROM articles WHERE published_at BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-06-30' AND tone_neg >= CAST(30 AS FLOAT) AND domain = '5-LOW' ORDER BY published_at DESC, article_id LIMIT 50")
+def ordered_filtered_page(t):
+    ranges = [layout.Range("published_at", datetime(1995, 1, 1), datetime(1996, 6, 30)), layout.Range("tone_neg", 30.0)]
+    return _by_time(t).page(50, where=[F.col("domain") == "5-LOW"], ranges=ranges).select(*page_columns())
+
+
+@query(f"WITH {ARTICLES} SELECT seq, {SQL_PAGE} FROM articles WHERE seq > 7000 ORDER BY seq LIMIT 100")
+def ordered_cursor_page(t):
+    laid = layout.OrderedTable.write(B.articles(t), layout.scratch(t.spark, "articles"), [layout.By("seq")], rows_per_file=2000)
+    return laid.page(100, behind=(7000,)).select("seq", *page_columns())
+
+
 @query(f"WITH {ARTICLES} SELECT seq, {SQL_PAGE} FROM articles WHERE seq > 500 ORDER BY seq LIMIT 200")
 def cursor_page(t):
     return filters.new_since(B.articles(t), 200, after_seq=filters.start_after(500, 20)).select("seq", *page_columns())
@@ -534,7 +555,7 @@ def vector_topk_filtered(t):
 
 def _vector_index(t):
     """(index of all vectors, the queries: every vector whose id is divisible by 20)."""
-    path = f"{t.spark.sparkContext.getCheckpointDir()}/vectors-{uuid.uuid4().hex}"
+    path = layout.scratch(t.spark, "vectors")
     rows = B.vectors(t)
     return VectorIndex.build(rows, path), rows.where("article_id % 20 = 0").select(F.col("article_id").alias("query"), "embedding")
 
@@ -587,7 +608,7 @@ def rrf_fuse(t):
 
 
 def _title_index(t, analyzer: str = "english"):
-    path = f"{t.spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    path = layout.scratch(t.spark, "index")
     return textindex.TextIndex.build(B.texts(t), path, text="title", key="article_id", published="published_at", analyzer=analyzer)
 
 
@@ -602,7 +623,7 @@ _WORDS = r"""w AS (SELECT doc_id, published_at, unnest(list_zip(l, range(1, len(
 
 
 def _body_index(t):
-    path = f"{t.spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    path = layout.scratch(t.spark, "index")
     return textindex.TextIndex.build(B.texts(t), path, text="body", key="article_id", published="published_at", analyzer="simple", texts_per_block=256)
 
 
@@ -638,7 +659,7 @@ def keyword_index_phrase(t):
 def passage_keyword_fold(t):
     """Lines as passages, through an index of them."""
     rows = B.texts(t).select("article_id", "published_at", F.posexplode(F.split(F.coalesce("body", F.lit("")), "\n")).alias("idx", "passage"))
-    path = f"{t.spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    path = layout.scratch(t.spark, "index")
     index = textindex.TextIndex.build(rows.withColumn("passage_id", F.struct("article_id", "idx")), path, text="passage", key="passage_id", published="published_at")
     legs = search.passage_keyword_leg(rows.drop("published_at"), B.texts(t), "licensed or rights", 50, index=index)
     return legs.select("article_id", "idx", F.round("rank", 9).alias("rank"))
@@ -935,7 +956,7 @@ def push_frames(t):
   UNION ALL SELECT 'mention', l_partkey || ' http://s.com/' || l_suppkey, strftime(max(l_shipdate), '%Y-%m-%d') FROM lineitem GROUP BY l_partkey, l_suppkey""")
 def feed_store(t):
     """The whole tables as feed lines, absorbed in three batches of the store; what it then holds."""
-    store = feed.FeedStore(t.spark, f"{t.spark.sparkContext.getCheckpointDir()}/feed-{uuid.uuid4().hex}", retention=None, fan=2)
+    store = feed.FeedStore(t.spark, layout.scratch(t.spark, "feed"), retention=None, fan=2)
     messages = B.raw_messages(t)
     for batch in range(3):
         store.absorb(messages.where(F.col("batch") == batch), batch)
