@@ -42,8 +42,8 @@ def slots_back(spark: SparkSession, end: datetime, count: int) -> DataFrame:
     return spark.range(1).select(F.explode(times).alias("at")).select(F.date_format("at", "yyyyMMddHHmmss").alias("slot"))
 
 
-def landed(spark: SparkSession, folder: str) -> DataFrame:
-    """(slot, kind, md5, content, path) of zip files in a landing folder."""
+def landed(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    """(slot, kind, md5, content, path) of zip files in a landing folder, or of files by their paths."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.when(name.endswith(SUFFIX["gkg"]), "gkg").when(name.endswith(SUFFIX["events"]), "events").when(name.endswith(SUFFIX["mentions"]), "mentions")

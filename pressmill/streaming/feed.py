@@ -1,4 +1,4 @@
-"""The feed as Structured Streaming: route raw lines, merge into state, group stories, push, limit rates.
+"""The feed as Structured Streaming: route raw lines, merge into state, group stories, push, limit rates (on streams: keyed.py).
 
 Delivery is at least once and every write is idempotent: a batch of the state counts as a whole or not at all, and merges keep
 the newest row whatever order rows come in, so no watermark is needed. The source is a factory; a message log where the connector is
@@ -58,6 +58,7 @@ STATE = {
     "stories": TableSpec("story_key STRING, url_hash STRING, domain STRING, url STRING, published_at TIMESTAMP_NTZ, arrival STRING, kept_from TIMESTAMP_NTZ", ("url_hash",), "story_key", "kept_from"),
     "mentions": TableSpec(f"{schemas.CLEAN_MENTION}, derived BOOLEAN, ingested_at TIMESTAMP_NTZ", ("event_id", "url_hash"), "url_hash", "ingested_at"),
     "dlq": TableSpec(schemas.DEAD_LETTER, ("slot", "row_no", "kind"), "slot"),
+    "slots": TableSpec("slot STRING, kind STRING, md5 STRING, status STRING, attempts INT, row_count BIGINT", ("slot", "kind"), "slot"),
 }
 
 
@@ -92,10 +93,11 @@ class FeedStore:
     def __init__(self, spark: SparkSession, path: str, keep: int = 3, retention: timedelta | None = timedelta(days=7), **options):
         self.spark = spark
         self.store = RunStore(spark, path, STATE, keep=retention, manifests=keep, **options)
-        self.events, self.mentions, self.articles, self.dead = (StateTable(self.store, n) for n in ("events", "mentions", "articles", "dlq"))
+        self.events, self.mentions, self.articles, self.dead, self.slots = (StateTable(self.store, n) for n in ("events", "mentions", "articles", "dlq", "slots"))
 
-    def absorb(self, raw: DataFrame, batch: int, now: datetime | None = None) -> None:
-        """Merge a batch of raw messages; a batch absorbed before changes nothing."""
+    def absorb(self, raw: DataFrame, batch: int, now: datetime | None = None, also: dict[str, DataFrame] | None = None) -> None:
+        """Merge a batch of raw messages; a batch absorbed before changes nothing. `also`: rows of other tables of the store
+        that change with it or not at all."""
         if batch <= self.store.batch:
             return
         now = now or datetime.now(UTC).replace(tzinfo=None)
@@ -113,6 +115,8 @@ class FeedStore:
                 fresh = self._absorb_articles(good["gkg"], batch, now)
                 self._derive_mentions(mentions.result(), fresh, batch, now)
                 events.result(), dead.result()
+            for name, rows in (also or {}).items():
+                self.store.write_run(name, rows, batch)
             self.store.commit(batch, now)
         finally:
             for rows in (raw, *parsed.values()):
@@ -208,31 +212,6 @@ def rate_limited(requests: DataFrame, limit: int, seconds: int = 60, key: str =
     return w.withColumn("_k", place).select(*requests.columns, (F.col("_k") <= limit).alias("allowed"), F.when(F.col("_k") > limit, wait).otherwise(F.lit(0).cast("bigint")).alias("retry_after"))
 
 
-_LIMIT_STATE = "window_start bigint, used bigint"
-
-
-def rate_limited_stream(requests: DataFrame, limit: int, seconds: int = 60, key: str = "user_id", at: str = "ts") -> DataFrame:
-    """The limiter on a stream: one counter of state a key, dropped when its window is past."""
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        start, used = state.get if state.exists else (-1, 0)
-        rows = pd.concat(list(batches)).sort_values(at) if not state.hasTimedOut else pd.DataFrame()
-        if state.hasTimedOut:
-            state.remove()
-            return
-        out = []
-        for moment in rows[at]:
-            own = int(pd.Timestamp(moment).timestamp()) // seconds * seconds
-            start, used = (own, 1) if own > start else (start, used + 1)
-            out.append((k[0], moment, used <= limit))
-        state.update((start, used))
-        state.setTimeoutDuration(2 * seconds * 1000)
-        yield pd.DataFrame(out, columns=[key, at, "allowed"])
-
-    kinds = dict(requests.dtypes)
-    return requests.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {at} {kinds[at]}, allowed boolean", _LIMIT_STATE, "append", "ProcessingTimeTimeout")
-
-
 def window_limits(attempts: DataFrame, limit: int, span: timedelta, key: str, at: str) -> DataFrame:
     """Attempts with allowed, under windows that the first attempt of a key opens.
 
