@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pressmill.functions import scalars as S
 from pressmill.operators import articles as A
-from pressmill.operators import dedup, digest, evalset, filters, merge, passages, search, textindex
+from pressmill.operators import assembly, dedup, digest, evalset, filters, merge, passages, search, textindex
 from pressmill.operators.vectorindex import VectorIndex
 from pressmill.plans import bindings as B
 from pressmill.plans.bindings import ARRIVALS, ARTICLES, EVENTS, MENTIONS, TEXTS, VECTORS, moment, sql_moment
@@ -839,6 +839,60 @@ def bootstrap_interval(t):
     return low_high.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('3:' || doc_id), doc_id) <= 20")
+def sampled_by_language(t):
+    return assembly.sampled(t.documents.where("doc_id IS NOT NULL").select("doc_id", "lang"), 20, "doc_id", 3, ["lang"])
+
+
+@query("SELECT CAST(s AS INTEGER) AS sample, (SELECT count(*) FROM labels) AS draws FROM range(100) r(s) WHERE (SELECT count(*) FROM labels) > 0")
+def resample_counts(t):
+    """Every resample draws as many pairs as there are, whatever the blocks."""
+    return assembly.resampled(t.labels.selectExpr("doc_id AS pair_id", "CAST(quality AS DOUBLE) AS a", "CAST(toxic AS DOUBLE) AS b"), 100, per_block=64).select("sample", "draws")
+
+
+@query("SELECT round(m, 6) AS mean, true AS inside FROM (SELECT avg(quality - toxic) AS m FROM labels)")
+def resampled_interval(t):
+    """The mean, and whether the resampled interval holds it and is about as wide as its standard error says."""
+    pairs = t.labels.selectExpr("doc_id AS pair_id", "CAST(quality AS DOUBLE) AS a", "CAST(toxic AS DOUBLE) AS b")
+    gap = F.col("a") - F.col("b")
+    facts = pairs.agg(F.avg(gap).alias("mean"), (F.stddev(gap) / F.sqrt(F.count("*"))).alias("error"))
+    wide = (F.col("high") - F.col("low")) / (2 * 1.96 * F.col("error"))
+    return facts.join(assembly.resampled_interval(pairs, 1000)).select(F.round("mean", 6).alias("mean"), (F.col("mean").between(F.col("low"), F.col("high")) & wide.between(0.85, 1.15)).alias("inside"))
+
+
+@query(f"""WITH {_RUNS}, m AS (SELECT kind, len(list_intersect(expected, list_slice(vector, 1, 5))) / len(expected) AS vr, len(list_intersect(expected, list_slice(hybrid, 1, 5))) / len(expected) AS hr,
+    coalesce(1.0 / list_min(list_filter(list_transform(expected, lambda e: list_position(vector, e)), lambda p: p > 0)), 0) AS vm, coalesce(1.0 / list_min(list_filter(list_transform(expected, lambda e: list_position(hybrid, e)), lambda p: p > 0)), 0) AS hm FROM runs WHERE len(expected) > 0)
+  SELECT kind, round(avg(hr) - avg(vr), 6) AS recall_gain, round(avg(hm) - avg(vm), 6) AS mrr_gain, avg(hr) < avg(vr) OR avg(hm) < avg(vm) AS worse FROM m GROUP BY 1""")
+def methods_compared(t):
+    runs = _runs(t)
+    of = lambda c: evalset.retrieval_metrics(runs.withColumn("found", F.col(c)), ["kind"])
+    gains = assembly.compared(of("hybrid"), of("vector"), ["kind"])
+    return gains.select("kind", F.round("recall_gain", 6).alias("recall_gain"), F.round("mrr_gain", 6).alias("mrr_gain"), "worse")
+
+
+@query("""WITH r AS (SELECT l_partkey AS q, l_orderkey AS id, l_linenumber AS line, l_extendedprice AS price, l_shipdate AS day FROM lineitem),
+  ex AS (SELECT q, list_sort(list(DISTINCT id) FILTER (line <= 2)) AS expected FROM r GROUP BY q HAVING count(*) FILTER (line <= 2) > 0),
+  legs AS (SELECT prefix, q, leg, id, CAST(row_number() OVER (PARTITION BY prefix, q, leg ORDER BY o, id) AS INTEGER) AS rank FROM (
+    SELECT 'on' AS prefix, q, 'vector' AS leg, id, min(-price) AS o FROM r GROUP BY q, id UNION ALL SELECT 'off', q, 'vector', id, min(price) FROM r GROUP BY q, id
+    UNION ALL SELECT p, q, 'fulltext', id, min(epoch(day)) FROM r, (VALUES ('on'), ('off')) v(p) GROUP BY p, q, id)),
+  s AS (SELECT * FROM (VALUES (10), (30), (60), (100)) a(rrf_k), (VALUES (5), (10), (20)) b(candidates)),
+  hit AS (SELECT prefix, rrf_k, candidates, 'hybrid' AS method, q, id, sum(CAST(1.0 AS DOUBLE) / (rrf_k + rank) ORDER BY leg) AS score FROM legs, s WHERE rank <= candidates GROUP BY ALL
+    UNION ALL SELECT prefix, rrf_k, candidates, leg, q, id, CAST(1.0 AS DOUBLE) / rank FROM legs, s WHERE rank <= candidates),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY prefix, rrf_k, candidates, method, q ORDER BY score DESC, id) AS place FROM hit),
+  each AS (SELECT prefix, rrf_k, candidates, method, q, count(*) FILTER (place <= 5 AND list_contains(expected, id)) / any_value(len(expected)) AS recall, coalesce(1.0 / min(place) FILTER (list_contains(expected, id)), 0) AS rr FROM placed JOIN ex USING (q) GROUP BY ALL)
+  SELECT prefix, rrf_k, candidates, method, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, count(*) AS queries FROM each GROUP BY ALL""")
+def sweep_grid(t):
+    """24 settings over the line items of every part as two candidate lists a prefix."""
+    r = t.lineitem.selectExpr("l_partkey AS query_id", "l_orderkey AS id", "l_linenumber AS line", "CAST(l_extendedprice AS DOUBLE) AS price", "CAST(unix_date(CAST(l_shipdate AS DATE)) AS DOUBLE) AS day")
+    queries = r.where("line <= 2").groupBy("query_id").agg(F.array_sort(F.collect_set("id")).alias("expected"))
+    by = {("on", "vector"): -F.col("price"), ("off", "vector"): F.col("price"), ("on", "fulltext"): F.col("day"), ("off", "fulltext"): F.col("day")}
+    orders = F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(leg).alias("leg"), o.alias("o")) for (p, leg), o in by.items()])
+    one = r.select("query_id", "id", F.explode(orders).alias("x")).groupBy("query_id", "id", "x.prefix", "x.leg").agg(F.min("x.o").alias("o"))
+    legs = one.withColumn("rank", F.row_number().over(Window.partitionBy("prefix", "query_id", "leg").orderBy("o", "id")))
+    found = assembly.swept(queries, legs, [10, 30, 60, 100], [5, 10, 20])
+    return found.select("prefix", "rrf_k", "candidates", "method", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), "queries")
+
+
 @query()
 def hard_queries(t):
     rows = B.texts(t).where("title is not null")
