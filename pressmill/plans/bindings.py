@@ -88,13 +88,16 @@ def sql_moment(column: str) -> str:
     return f"strftime({column}, '%Y-%m-%d %H:%M:%S') AS {column}"
 
 
+def feed_line(size: int, cells: dict[int, str]) -> str:
+    """SQL of a feed line of `size` fields, those in `cells` by their expressions, the others empty."""
+    return "concat_ws('\t', " + ", ".join(cells.get(k, "''") for k in range(size)) + ")"
+
+
 def raw_messages(t: Tables) -> DataFrame:
     """Orders as articles and events, line items as mentions, as the lines that a feed delivers, with the batch they come in.
     A URL or event comes again with every order of its customer, a mention with every item of its part and supplier."""
 
-    def line(size: int, cells: dict[int, str]) -> str:
-        return "concat_ws('\t', " + ", ".join(cells.get(k, "''") for k in range(size)) + ") AS line"
-
+    line = lambda size, cells: f"{feed_line(size, cells)} AS line"
     stamp = lambda c: f"date_format({c}, 'yyyyMMddHHmmss')"
     slot = f"{stamp('o_orderdate')} AS slot"
     url, batch = "concat('http://c.com/', o_custkey)", "CAST(o_orderkey % 3 AS INT) AS batch"

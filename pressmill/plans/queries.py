@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pressmill.functions import scalars as S
 from pressmill.operators import articles as A
-from pressmill.operators import assembly, dedup, digest, evalset, filters, merge, passages, search, textindex
+from pressmill.operators import assembly, dedup, digest, evalset, filters, merge, parsers, passages, search, textindex
 from pressmill.operators.vectorindex import VectorIndex
 from pressmill.plans import bindings as B
 from pressmill.plans.bindings import ARRIVALS, ARTICLES, EVENTS, MENTIONS, TEXTS, VECTORS, moment, sql_moment
@@ -553,6 +553,50 @@ def vector_topk_filtered(t):
     return search.vector_leg(rows, B.query_vector(t), 10, model="2").select("article_id", F.round("distance", 6).alias("distance"))
 
 
+def _passages(t):
+    """Four vectors an article as its passages, and the articles that a filter leaves."""
+    rows = B.vectors(t)
+    passages_ = rows.selectExpr("article_id div 4 AS article_id", "CAST(article_id % 4 AS INT) AS idx", "concat('p', article_id) AS passage", "embedding", "embedding_model")
+    kept = rows.selectExpr("article_id div 4 AS article_id").distinct().where("article_id % 3 <> 0").withColumn("published_at", F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz"))
+    return passages_, kept
+
+
+@query(f"""WITH c AS (SELECT vec_id // 4 AS article_id, CAST(vec_id % 4 AS INTEGER) AS idx, 'p' || vec_id AS passage, {_DIST} AS d, 1 - list_dot_product(embedding::DOUBLE[], {_Q}::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product({_Q}::DOUBLE[], {_Q}::DOUBLE[])) AS far
+    FROM embeddings WHERE label = 2 AND (vec_id // 4) % 3 <> 0 ORDER BY far, article_id, idx LIMIT 150)
+  SELECT article_id, idx, passage, d AS distance FROM c QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY far, idx) = 1 ORDER BY far, article_id LIMIT 25""")
+def passage_vector_leg(t):
+    passages_, kept = _passages(t)
+    leg = search.passage_vector_leg(passages_, kept, B.query_vector(t), 25, model="2")
+    return leg.select("article_id", "idx", "passage", F.round("distance", 6).alias("distance"))
+
+
+@query(f"""WITH c AS (SELECT vec_id // 4 AS id, 'p' || vec_id AS passage, label, vec_id, {_DIST} AS d FROM embeddings),
+  legs AS (SELECT id, passage, 0 AS leg, row_number() OVER (ORDER BY d, vec_id) AS rank FROM c WHERE vec_id % 4 = label % 4 QUALIFY rank <= 200
+    UNION ALL SELECT id, passage, 1, row_number() OVER (ORDER BY vec_id DESC) FROM c WHERE vec_id % 4 = 1 QUALIFY row_number() OVER (ORDER BY vec_id DESC) <= 200)
+  SELECT id, arg_min(passage, (rank, leg)) AS passage FROM legs GROUP BY id""")
+def passage_choice(t):
+    """Of each article the passage of the leg where it stands highest, the first leg before the second."""
+    c = B.vectors(t).withColumn("label", F.col("embedding_model").cast("int")).withColumn("distance", F.round(search.cosine_distance(F.col("embedding"), B.query_vector(t)), 6))
+    c = c.select(F.expr("article_id div 4 AS id"), F.concat(F.lit("p"), "article_id").alias("passage"), "label", F.col("article_id").alias("vec_id"), "distance")
+    first = c.where("vec_id % 4 = label % 4").orderBy("distance", "vec_id").limit(200).withColumn("rank", F.row_number().over(Window.orderBy("distance", "vec_id")))
+    second = c.where("vec_id % 4 = 1").orderBy(F.desc("vec_id")).limit(200).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("vec_id"))))
+    return search.best_passages([first, second])
+
+
+@query(f"""WITH {TEXTS}, w AS (SELECT article_id, published_at, unnest(list_zip(l, range(1, len(l) + 1))) AS z FROM (SELECT article_id, published_at, regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}'']*') AS l FROM texts)),
+  hit AS (SELECT article_id, published_at, z[1] AS term, row_number() OVER (PARTITION BY article_id, z[1] ORDER BY z[2]) AS j FROM w WHERE z[1] IN ('the', 'la')),
+  best AS (SELECT article_id, row_number() OVER (ORDER BY round(sum(1 / (j * j)), 9) DESC, published_at DESC, article_id) AS rank FROM hit WHERE j <= 256 GROUP BY article_id, published_at)
+  SELECT article_id AS id, round(1 / (60 + rank), 9) AS score, 'keyword' AS matched_by, true AS degraded FROM best WHERE rank <= 20""")
+def semantic_degraded(t):
+    """Without an embedder a hybrid search answers from keywords alone and says so."""
+
+    def unavailable(text: str) -> list[float]:
+        raise search.EmbeddingUnavailable
+
+    hits, degraded = search.semantic_search(B.texts(t), "the or la", unavailable, title_index=_title_index(t, "simple"))
+    return hits.select("id", F.round("score", 9).alias("score"), F.array_join("matched_by", ",").alias("matched_by"), F.lit(degraded).alias("degraded"))
+
+
 def _vector_index(t):
     """(index of all vectors, the queries: every vector whose id is divisible by 20)."""
     path = layout.scratch(t.spark, "vectors")
@@ -992,8 +1036,6 @@ def rate_limit_fixed_window(t):
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'bad_column_count' WHEN event_id % 3 = 1 THEN 'missing_event_id' ELSE 'missing_url' END AS reason FROM events")
 def dlq_reason(t):
-    from pressmill.operators import parsers
-
     k = F.col("event_id") % 3
     cells = F.when(k == 0, F.array_repeat(F.lit("1"), 15)).when(k == 1, F.array_repeat(F.lit("x"), 16)).otherwise(F.concat(F.array(F.lit("7")), F.array_repeat(F.lit(""), 15)))
     raw = t.events.select(F.lit("s").alias("slot"), F.col("event_id").cast("int").alias("row_no"), F.array_join(cells, "\t").alias("line"), F.lit("mentions").alias("kind"))
@@ -1021,3 +1063,93 @@ def feed_store(t):
         store.mentions.read().select(F.lit("mention"), F.concat_ws(" ", "event_id", "url"), day("mention_time")),
     ]
     return parts[0].union(parts[1]).union(parts[2])
+
+
+# --- whole lines through the parsers, good ones and broken ones -------------------------
+
+_GKG = {
+    0: "concat('rec-', o_orderkey)", 1: "if(o_orderkey % 17 = 0, 'bad', date_format(o_orderdate, 'yyyyMMddHHmmss'))", 3: "if(o_orderkey % 5 = 0, '', concat('D', o_custkey, '.com'))",
+    4: "if(o_orderkey % 13 = 0, '  ', concat('HTTP://Www.X.com//a/', o_orderkey, '/?b=1#f'))", 7: "'V1A;V1B,5;;V1A'", 8: "if(o_orderkey % 3 = 0, '', concat('T', o_orderstatus, ',12;ECON,3;T', o_orderstatus, ',99'))",
+    12: "'ann lee,1;bob;ann lee,7'", 15: "if(o_orderkey % 19 = 0, '1,2', concat('1.5,-2.25,3,', o_custkey, '.5,0,0,', o_custkey))",
+    26: "concat(if(o_orderkey % 11 = 0, '', concat('<PAGE_TITLE> Order ', o_orderkey, ' </PAGE_TITLE>')), if(o_orderkey % 2 = 0, concat('<PAGE_PRECISEPUBTIMESTAMP>', date_format(o_orderdate, 'yyyyMMdd'), '123456</PAGE_PRECISEPUBTIMESTAMP>'), ''), if(o_orderkey % 23 = 0, '\t', ''))",
+}
+
+
+@query("""SELECT o_orderkey AS row, CASE WHEN k % 23 = 0 THEN 'bad_column_count' WHEN k % 13 = 0 THEN 'missing_url' WHEN k % 11 = 0 THEN 'missing_title' WHEN k % 19 = 0 OR (k % 17 = 0 AND k % 2 = 1) THEN 'bad_field' END AS reason,
+    CASE WHEN reason IS NULL THEN 'http://www.x.com//a/' || k || '?b=1' END AS url, CASE WHEN reason IS NULL THEN sha256('http://www.x.com//a/' || k || '?b=1') END AS url_hash, CASE WHEN reason IS NULL THEN 'Order ' || k END AS title,
+    CASE WHEN reason IS NULL AND k % 5 <> 0 THEN 'D' || o_custkey || '.com' END AS domain, CASE WHEN reason IS NULL THEN strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN k % 2 = 0 THEN ' 12:34:56' ELSE ' 00:00:00' END END AS published_at,
+    CASE WHEN reason IS NULL THEN CASE WHEN k % 3 = 0 THEN 'V1A|V1B' ELSE 'T' || o_orderstatus || '|ECON' END END AS themes, CASE WHEN reason IS NULL THEN 'ann lee|bob|0' END AS people,
+    CASE WHEN reason IS NULL THEN CAST(o_custkey + 0.5 AS DOUBLE) END AS polarity, CASE WHEN reason IS NULL THEN CAST(o_custkey AS INTEGER) END AS word_count
+  FROM (SELECT *, o_orderkey AS k FROM orders)""")
+def parsed_articles(t):
+    raw = t.orders.selectExpr("date_format(o_orderdate, 'yyyyMMddHHmmss') AS slot", "CAST(o_orderkey AS INT) AS row_no", f"{B.feed_line(27, _GKG)} AS line", "'gkg' AS kind")
+    a = parsers.parse_articles(raw).select("row_no", "reason", "article.*")
+    people = F.concat_ws("|", F.array_join("persons", "|"), F.size("orgs").cast("string"))
+    return a.select(F.col("row_no").cast("bigint").alias("row"), "reason", "url", "url_hash", "title", "domain", moment("published_at"), F.array_join("themes", "|").alias("themes"),
+        F.when(F.col("reason").isNull(), people).alias("people"), F.col("tone.polarity").alias("polarity"), F.col("tone.word_count").alias("word_count"))
+
+
+_EVENT = {
+    0: "if(k % 29 = 0, 'abc', string(k))", 1: "if(k % 31 = 0, '20230229', '20240229')", 5: "concat('C', k)", 6: "if(k % 3 = 0, '', c_mktsegment)", 12: "'GOV'", 25: "if(k % 2 = 0, '1', '0')", 26: "if(k % 37 = 0, '', '040')", 27: "'04'",
+    29: "if(k % 6 = 0, '', '3')", 30: "CASE WHEN k % 4 = 0 THEN '' WHEN k % 41 = 0 THEN 'x' ELSE '-2.5' END", 31: "'5'", 32: "if(k % 43 = 0, '', '2')", 33: "'7'", 34: "'0.125'", 52: "if(k % 5 = 0, 'Oslo', '')", 56: "if(k % 5 = 0, '38.5', '')",
+    59: "if(k % 47 = 0, '2024030100000', '20240301003000')", 60: "if(k % 53 = 0, '', concat('http://E.com/', k, '/'))",
+}
+
+
+@query("""SELECT k AS row, CASE WHEN k % 29 = 0 THEN 'missing_event_id' WHEN k % 53 = 0 THEN 'missing_url' WHEN k % 31 = 0 OR k % 37 = 0 OR (k % 41 = 0 AND k % 4 <> 0) OR k % 43 = 0 OR k % 47 = 0 THEN 'bad_field' END AS reason,
+    CASE WHEN reason IS NULL THEN k END AS event_id, CASE WHEN reason IS NULL THEN '2024-02-29' END AS event_date, CASE WHEN reason IS NULL THEN 'C' || k || '|' || CASE WHEN k % 3 = 0 THEN '-' ELSE c_mktsegment END || '|GOV|-' END AS actors,
+    CASE WHEN reason IS NULL THEN k % 2 = 0 END AS is_root, CASE WHEN reason IS NULL THEN '040|04|-' END AS cameo, CASE WHEN reason IS NULL AND k % 6 <> 0 THEN 3 END AS quad_class, CASE WHEN reason IS NULL AND k % 4 <> 0 THEN CAST(-2.5 AS DOUBLE) END AS goldstein,
+    CASE WHEN reason IS NULL THEN 14 END AS counts, CASE WHEN reason IS NULL AND k % 5 = 0 THEN 'Oslo 38.5' END AS geo, CASE WHEN reason IS NULL THEN '2024-03-01 00:30:00' END AS date_added, CASE WHEN reason IS NULL THEN 'http://e.com/' || k END AS source_url
+  FROM (SELECT *, c_custkey AS k FROM customer)""")
+def parsed_events(t):
+    raw = t.customer.withColumn("k", F.col("c_custkey")).selectExpr("'s' AS slot", "CAST(k AS INT) AS row_no", f"{B.feed_line(61, _EVENT)} AS line", "'events' AS kind")
+    e = parsers.parse_events(raw).select("row_no", "reason", "event.*")
+    dash = lambda c: F.coalesce(F.col(c), F.lit("-"))
+    good = lambda c: F.when(F.col("reason").isNull(), c)
+    return e.select(F.col("row_no").cast("bigint").alias("row"), "reason", "event_id", F.col("event_date").cast("string").alias("event_date"), good(F.concat_ws("|", dash("actor1.code"), dash("actor1.name"), dash("actor1.type1"), dash("actor2.name"))).alias("actors"),
+        "is_root", good(F.concat_ws("|", dash("cameo_code"), dash("cameo_base"), dash("cameo_root"))).alias("cameo"), "quad_class", "goldstein", (F.col("num_mentions") + F.col("num_sources") + F.col("num_articles")).alias("counts"),
+        F.concat(F.col("geo.name"), F.lit(" "), F.col("geo.lat").cast("string")).alias("geo"), moment("date_added"), "source_url")
+
+
+_MENTION = {
+    0: "if(n % 29 = 0, '-5', string(l_partkey))", 2: "if(n % 31 = 0, '20241301000000', date_format(l_shipdate, 'yyyyMMddHHmmss'))", 4: "if(n % 3 = 0, '', concat('s', l_suppkey))", 5: "if(n % 37 = 0, '', concat(' https://M.com/', l_orderkey, '//'))",
+    11: "CASE WHEN n % 4 = 0 THEN '' WHEN n % 41 = 0 THEN '8.5' ELSE '80' END",
+}
+
+
+@query("""SELECT l_orderkey AS "order", l_linenumber AS line, CASE WHEN n % 29 = 0 THEN 'missing_event_id' WHEN n % 37 = 0 THEN 'missing_url' WHEN n % 31 = 0 OR (n % 41 = 0 AND n % 4 <> 0) THEN 'bad_field' END AS reason,
+    CASE WHEN reason IS NULL THEN l_partkey END AS event_id, CASE WHEN reason IS NULL THEN 'https://m.com/' || l_orderkey END AS url, CASE WHEN reason IS NULL AND n % 3 <> 0 THEN 's' || l_suppkey END AS source_name,
+    CASE WHEN reason IS NULL THEN strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') END AS mention_time, CASE WHEN reason IS NULL AND n % 4 <> 0 THEN 80 END AS confidence FROM (SELECT *, l_orderkey + l_linenumber AS n FROM lineitem)""")
+def parsed_mentions(t):
+    raw = t.lineitem.withColumn("n", F.col("l_orderkey") + F.col("l_linenumber")).selectExpr("l_orderkey AS slot", "CAST(l_linenumber AS INT) AS row_no", f"{B.feed_line(16, _MENTION)} AS line", "'mentions' AS kind")
+    m = parsers.parse_mentions(raw).select("slot", "row_no", "reason", "mention.*")
+    return m.select(F.col("slot").alias("order"), F.col("row_no").cast("bigint").alias("line"), "reason", "event_id", "url", "source_name", moment("mention_time"), "confidence")
+
+
+# --- small rules over whole tables ------------------------------------------------------
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(text, '([\\%_])', '\\\1', 'g')) AS pattern_md5, len(regexp_extract_all(text, '[\\%_]')) AS escaped FROM documents WHERE text IS NOT NULL")
+def like_escape(t):
+    d = t.documents.where("text IS NOT NULL")
+    return d.select("doc_id", F.md5(S.escape_like(F.col("text")).cast("binary")).alias("pattern_md5"), F.size(F.regexp_extract_all("text", F.lit(r"[\\%_]"), F.lit(0))).cast("bigint").alias("escaped"))
+
+
+@query(r"""SELECT p_partkey AS part, CASE WHEN length(p_name) <= 15 THEN p_name ELSE trim(CASE WHEN regexp_extract(substr(p_name, 1, 15), '^(.*)\s\S*$', 1) <> '' THEN regexp_extract(substr(p_name, 1, 15), '^(.*)\s\S*$', 1) ELSE substr(p_name, 1, 15) END) || '…' END AS clipped FROM part""")
+def clip_words(t):
+    return t.part.select(F.col("p_partkey").alias("part"), S.clip_words(F.col("p_name"), 15).alias("clipped"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN quality = 1 END AS relevant, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN greatest(0.0, least(1.0, (doc_id % 20) / 10 - 0.5)) END AS score,
+    CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'r' || doc_id ELSE '' END END AS reason FROM labels""")
+def model_score(t):
+    """A model's answers as JSON: scores outside 0 to 1, missing reasons, unreadable answers, answers without a score."""
+    score = F.concat(F.lit('"score": '), ((F.col("doc_id") % 20) / 10 - 0.5).cast("string"))
+    fields = F.concat_ws(", ", F.concat(F.lit('"relevant": '), (F.col("quality") == 1).cast("string")), F.when(F.col("doc_id") % 7 != 0, score), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('"reason": "r'), "doc_id", F.lit('"'))))
+    answer = F.when(F.col("doc_id") % 5 == 0, "no JSON").otherwise(F.concat(F.lit("{"), fields, F.lit("}")))
+    return t.labels.select("doc_id", S.model_score(answer).alias("m")).select("doc_id", "m.relevant", "m.score", "m.reason")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 12 = 0 THEN 0.0 ELSE least(30.0 * 2 ** (event_id % 12 - 1), 3600.0) END AS wait FROM events")
+def failure_backoff(t):
+    return t.events.select("event_id", web.backoff((F.col("event_id") % 12).cast("int"), 30, 3600).alias("wait"))
