@@ -19,8 +19,9 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import tee
 
 import numpy as np
 import pandas as pd
@@ -57,14 +58,14 @@ class _Weights(dict):
         return total
 
 
-def fit(texts: list[str], toxic: list[int], prior: tuple[int, int]) -> Model:
-    """Maximum likelihood by Adam over all sentences of the sample. prior: counts of label 0 and 1 among all labelled documents."""
-    if len(set(toxic)) < 2:
-        return Model(-30.0 if not any(toxic) else 30.0, {})
+def fit(texts: Iterable[str], toxic: Iterable[int], prior: tuple[int, int]) -> Model:
+    """Maximum likelihood by Adam over all sentences of the sample, which is read once, a text and its label at a time. prior:
+    counts of label 0 and 1 among all labelled documents."""
     # Flat arrays of machine integers, not lists: the sample is held by the driver.
     words: dict[str, int] = {}
-    occurrences, sentence_sizes, document_sizes, pair_words, pair_sizes = (array("i") for _ in range(5))
-    for text in texts:
+    labels, occurrences, sentence_sizes, document_sizes, pair_words, pair_sizes = (array("i") for _ in range(6))
+    for text, label in zip(texts, toxic, strict=True):
+        labels.append(label)
         sentences, seen = SENTENCE_END.split(text.lower()), set()
         for sentence in sentences:
             own = [words.setdefault(w, len(words)) for w in WORD.findall(sentence)]
@@ -74,6 +75,8 @@ def fit(texts: list[str], toxic: list[int], prior: tuple[int, int]) -> Model:
         document_sizes.append(len(sentences))
         pair_words.extend(seen)
         pair_sizes.append(len(seen))
+    if len(set(labels)) < 2:
+        return Model(-30.0 if not any(labels) else 30.0, {})
     plain = lambda a: np.frombuffer(a, np.int32) if len(a) else np.zeros(0, np.int32)
     occ, s_sizes, d_sizes = plain(occurrences), plain(sentence_sizes), plain(document_sizes)
     sentence_of = np.repeat(np.arange(len(s_sizes), dtype=np.int32), s_sizes)
@@ -85,7 +88,7 @@ def fit(texts: list[str], toxic: list[int], prior: tuple[int, int]) -> Model:
         features.extend((k, len(words) + starts.setdefault("4" + w[:4], len(starts)), len(words) + starts.setdefault("5" + w[:5], len(starts))))
     n_names = len(words) + len(starts)
     of_word = plain(features).reshape(-1, 3)
-    y = np.array(toxic, float)
+    y = np.array(labels, float)
     pair_docs = np.repeat(np.arange(len(pair_sizes), dtype=np.int64), plain(pair_sizes))
     live = _telling(of_word, pair_docs, plain(pair_words), n_names, y)
     del pair_docs, pair_words
@@ -130,24 +133,17 @@ def _telling(of_word: np.ndarray, docs: np.ndarray, words: np.ndarray, n_names:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars: int = CHARS_FITTED) -> Model:
-    """Fit on a bounded sample of the labelled documents outside the held-out fold, in one task: the driver holds the weights only."""
-    ship(docs.sparkSession)
+    """Fit on a bounded sample of the labelled documents outside the held-out fold."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    prior = (counts.get(0, 0), counts.get(1, 0))
     picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     # 2 * per_class ids at most, so the broadcast is bounded whatever the corpus; so is the sample, by `chars` a document.
     short = docs.select("doc_id", text_or_empty("text").alias("text")).where(F.length("text") <= chars)
-    sample = short.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("one", F.lit(0))
-
-    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "toxic"])
-        model = fit(rows.text.tolist(), rows.toxic.tolist(), prior)
-        return pd.DataFrame({"name": ["", *model.weights], "weight": [model.base, *model.weights.values()]})
-
-    weights = {r.name: r.weight for r in sample.groupBy("one").applyInPandas(fitted, "name string, weight double").collect()}
-    return Model(weights.pop("", -30.0), weights)
+    sample = short.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # Read a partition at a time and turned into numbers at once: the driver never holds the texts.
+    rows, again = tee(sample.orderBy("doc_id", "toxic").select("text", "toxic").toLocalIterator())
+    return fit((r.text for r in rows), (r.toxic for r in again), (counts.get(0, 0), counts.get(1, 0)))
 
 
 def held_out(doc_id):
