@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        if spark.sparkContext.getCheckpointDir() is None:  # on a cluster spark.checkpoint.dir names a shared folder
+            spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='pressmill-')}")
         ship(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
