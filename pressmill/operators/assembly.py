@@ -6,6 +6,8 @@ order they are worked out in. Queries and judgements come in as tables, as a mod
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -79,18 +81,48 @@ def swept(queries: DataFrame, legs: DataFrame, rrf_k: list[int], candidates: lis
     """(prefix, rrf_k, candidates, method, recall, mrr, queries): every setting over shared candidate lists, in one pass.
 
     queries (query_id, expected); legs (prefix, query_id, leg, id, rank), one list a leg ('vector', 'fulltext'), as deep as the
-    largest number of candidates. 'hybrid' is their fusion at 1 / (rrf_k + rank), best first, then by id."""
-    settings = F.array(*[F.struct(F.lit(a).alias("rrf_k"), F.lit(b).alias("candidates")) for a in rrf_k for b in candidates])
-    rows = legs.withColumn("s", F.explode(settings)).select("prefix", "query_id", "leg", "id", "rank", "s.rrf_k", "s.candidates").where("rank <= candidates")
-    setting = ["prefix", "rrf_k", "candidates"]
-    single = rows.select(*setting, "query_id", F.col("leg").alias("method"), "id", (1.0 / F.col("rank")).alias("score"))
+    largest number of candidates. 'hybrid' is their fusion at 1 / (rrf_k + rank), best first, then by id.
+
+    The lists of a prefix and query become one row, bounded by the number of candidates; every setting is worked out in it, so
+    what is shuffled does not depend on the number of settings, nor at all where legs are dealt by query_id already."""
+    deep = legs.where(F.col("rank") <= max(candidates)).select("prefix", "query_id", "leg", "id", "rank")
     # Terms are summed in the order of the legs' names, so that equal scores are equal to the last bit.
-    terms = F.array_sort(F.collect_list(F.struct("leg", (1.0 / (F.col("rrf_k") + F.col("rank"))).alias("part"))))
-    fused = rows.groupBy(*setting, "query_id", "id").agg(terms.alias("t")).select(*setting, "query_id", F.lit("hybrid").alias("method"), "id", F.aggregate("t", F.lit(0.0), lambda a, x: a + x["part"]).alias("score"))
-    best = single.unionByName(fused).groupBy(*setting, "method", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), lambda x: x["id"]).alias("found"))
-    lists = queries.select("query_id", "expected").crossJoin(F.broadcast(best.select(*setting, "method").distinct()))  # a row for each of the few settings
-    runs = lists.join(best, [*setting, "method", "query_id"], "left").withColumn("found", F.coalesce("found", F.slice("expected", 1, 0)))
-    return evalset.retrieval_metrics(runs, [*setting, "method"], k)
+    each = deep.groupBy("prefix", "query_id", "id").agg(F.array_sort(F.collect_list(F.struct("leg", "rank"))).alias("places"))
+    lists = each.groupBy("prefix", "query_id").agg(F.collect_list(F.struct("id", "places")).alias("entries"))
+    run = lists.join(queries.where(F.size("expected") > 0).select("query_id", "expected"), "query_id", "left")
+    names = F.array_distinct(F.flatten(F.transform("entries", lambda e: F.transform(e["places"], lambda p: F.struct(p["leg"].alias("leg"))))))
+    run = run.select("prefix", "expected", "entries", names.alias("legs"))
+
+    def judged(method: Column, depth: int, ordered: Column, rrf: list[int]) -> Column:
+        """What a list of (s, id), empty where the setting has none, is worth; the same for all of `rrf`."""
+        ids = F.transform(F.array_sort(ordered), lambda x: x["id"])
+
+        def worth(found: Column) -> Column:
+            recall = F.size(F.array_intersect("expected", F.slice(found, 1, k))) / F.size(F.array_distinct("expected"))
+            places = F.filter(F.transform("expected", lambda e: F.array_position(found, e)), lambda p: p > 0)
+            return F.struct(F.coalesce(recall, F.lit(0.0)).alias("recall"), F.coalesce(1 / F.array_min(places), F.lit(0.0)).alias("mrr"))
+
+        # Bound in an array of one, so that the list is sorted once.
+        one = F.transform(F.filter(F.array(ids), lambda found: F.size(found) > 0), worth)
+        return F.flatten(F.transform(one, lambda w: F.array(*[F.struct(F.lit(r).alias("rrf_k"), F.lit(depth).alias("candidates"), method.alias("method"), w["recall"].alias("recall"), w["mrr"].alias("mrr")) for r in rrf])))
+
+    def fused(rrf: int, depth: int) -> Column:
+        score = lambda e: F.aggregate(F.filter(e["places"], lambda p: p["rank"] <= depth), F.lit(0.0), lambda a, p: a + 1.0 / (rrf + p["rank"]))
+        scored = F.transform("entries", lambda e: F.struct((-score(e)).alias("s"), e["id"].alias("id")))
+        return judged(F.lit("hybrid"), depth, F.filter(scored, lambda x: x["s"] < 0), [rrf])
+
+    def alone(leg: Column, depth: int) -> Column:
+        of_leg = F.transform("entries", lambda e: F.transform(F.filter(e["places"], lambda p: (p["leg"] == leg) & (p["rank"] <= depth)), lambda p: F.struct(p["rank"].cast("double").alias("s"), e["id"].alias("id"))))
+        return judged(leg, depth, F.flatten(of_leg), rrf_k)
+
+    worths = [fused(a, b) for a in rrf_k for b in candidates] + [F.flatten(F.transform("legs", partial(lambda depth, x: alone(x["leg"], depth), b))) for b in candidates]
+    setting = ["prefix", "rrf_k", "candidates", "method"]
+    rows = run.select("prefix", F.col("expected").isNotNull().alias("asked"), F.explode(F.concat(*worths)).alias("w")).select("prefix", "asked", "w.*")
+    total = lambda c: F.sum(F.when(F.col("asked"), F.col(c)).otherwise(0.0))
+    sums = rows.groupBy(*setting).agg(total("recall").alias("recall"), total("mrr").alias("mrr"))
+    # A query that a setting finds nothing for counts with 0.
+    count = queries.where(F.size("expected") > 0).agg(F.count("*").alias("queries")).where("queries > 0")
+    return sums.crossJoin(F.broadcast(count)).select(*setting, (F.col("recall") / F.col("queries")).alias("recall"), (F.col("mrr") / F.col("queries")).alias("mrr"), "queries")
 
 
 # --- resampling -----------------------------------------------------------------------

@@ -100,3 +100,29 @@ def test_blocks_share_all_draws():
     draws = [[assembly._draws_of_block(b, sizes, 1, s, 21) for b in range(5)] for s in range(2000)]
     assert all(sum(d) == 21 and d[1] == 0 for d in draws)
     assert np.allclose(np.mean(draws, axis=0), sizes, atol=0.3)
+
+
+def test_sweep_equals_the_plain_rule_and_deals_no_settings(spark):
+    rng = random.Random(4)
+    legs = [(p, q, leg, i, r) for p in ("on", "off") for q in range(12) for leg in ("vector", "fulltext") if rng.random() < 0.8 for r, i in enumerate(rng.sample(range(30), rng.randint(1, 25)), 1)]
+    wanted = {q: rng.sample(range(30), rng.randint(0, 4)) for q in range(15)}
+    rows = spark.createDataFrame(legs, "prefix string, query_id bigint, leg string, id bigint, rank int")
+    found = assembly.swept(spark.createDataFrame(list(wanted.items()), "query_id bigint, expected array<bigint>"), rows, [10, 60], [3, 20])
+    asked = {q: e for q, e in wanted.items() if e}
+    want = {}
+    for p in ("on", "off"):
+        for k in (10, 60):
+            for c in (3, 20):
+                for method in ("vector", "fulltext", "hybrid"):
+                    recalls, rrs = [], []
+                    for q, e in asked.items():
+                        score = {}
+                        for _, _, leg, i, r in sorted(x for x in legs if x[0] == p and x[1] == q and x[4] <= c and method in ("hybrid", x[2])):
+                            score[i] = score.get(i, 0.0) + (1 / (k + r) if method == "hybrid" else 1 / r)
+                        order = sorted(score, key=lambda i: (-score[i], i))
+                        recalls.append(len(set(order[:5]) & set(e)) / len(e))
+                        rrs.append(max([1 / (order.index(i) + 1) for i in e if i in score], default=0))
+                    want[p, k, c, method] = (round(sum(recalls) / len(asked), 9), round(sum(rrs) / len(asked), 9), len(asked))
+    assert {(r.prefix, r.rrf_k, r.candidates, r.method): (round(r.recall, 9), round(r.mrr, 9), r.queries) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "rrf_k" in x and "query_id" in x]
