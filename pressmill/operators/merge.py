@@ -32,14 +32,15 @@ def upsert_mentions(state: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def upsert_analyses(state: DataFrame, incoming: DataFrame, articles: DataFrame, max_bytes: int = 64 << 10) -> tuple[DataFrame, DataFrame]:
     """(state, refused): the last payload of each (article, agent) wins; unknown articles and large payloads are refused."""
-    known = incoming.join(articles.select("article_id").withColumn("_known", F.lit(True)), "article_id", "left")
-    reason = F.when(F.col("_known").isNull(), "not_found").when(F.octet_length("payload") > max_bytes, "too_large")
-    judged = known.withColumn("reason", reason).drop("_known")
-    good = judged.where("reason is null").drop("reason")
+    fits = F.coalesce(F.octet_length("payload") <= max_bytes, F.lit(True))
     whole = F.struct(*state.columns)
-    last = good.groupBy(F.col("article_id").alias("_a"), F.col("agent").alias("_g")).agg(F.max_by(whole, F.struct("created_at", "arrival")).alias("r")).select("r.*")
+    # What is too large never reaches a sort or the join, and of the rest only the last of each key does.
+    last = incoming.where(fits).groupBy(F.col("article_id").alias("_a"), F.col("agent").alias("_g")).agg(F.max_by(whole, F.struct("created_at", "arrival")).alias("r")).select("r.*")
+    last = last.join(articles.select("article_id"), "article_id", "left_semi").select(*state.columns)
+    known = incoming.join(articles.select("article_id").distinct().withColumn("_known", F.lit(True)), "article_id", "left")
+    refused = known.withColumn("reason", F.when(F.col("_known").isNull(), "not_found").when(~fits, "too_large")).drop("_known").where("reason is not null")
     kept = state.join(last.select("article_id", "agent"), ["article_id", "agent"], "left_anti")
-    return kept.unionByName(last), judged.where("reason is not null")
+    return kept.unionByName(last), refused
 
 
 def advance_cursors(state: DataFrame, acks: DataFrame) -> DataFrame:

@@ -87,3 +87,21 @@ def test_components_of_long_chains(spark):
     rng.shuffle(pairs)
     got = {r.id: r.component for r in digest.linked_components(spark.createDataFrame(pairs, "a string, b string").repartition(7)).collect()}
     assert got == {f"n{k:03d}": f"n{(k - 1) // 50 * 50 + 1:03d}" for k in range(1, 201)} | dict.fromkeys("xyz", "x")
+
+
+def test_large_payloads_reach_no_join(spark):
+    from pressmill.operators import merge
+
+    rows = spark.range(40).selectExpr("id % 5 AS article_id", "CAST(id % 2 AS STRING) AS agent", "CASE WHEN id % 3 = 0 THEN repeat('x', 70000) WHEN id % 7 > 0 THEN 'x' END AS payload", "id AS created_at", "id AS arrival")
+    articles = spark.range(4).selectExpr("id AS article_id")
+    kept, refused = merge.upsert_analyses(rows.where("false"), rows, articles)
+    want = {}
+    for k in range(40):
+        if k % 3 and k % 5 < 4:
+            want[k % 5, str(k % 2)] = k
+    assert {(r.article_id, r.agent): r.arrival for r in kept.collect()} == want
+    assert {(r.arrival, r.reason) for r in refused.collect()} == {(k, "not_found" if k % 5 == 4 else "too_large") for k in range(40) if k % 5 == 4 or k % 3 == 0}
+    plan = kept._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    joins = [depth(x) for x in plan if "Join" in x]
+    assert min(depth(x) for x in plan if "octet_length" in x) > min(joins) and any("octet_length" in x and "Filter" in x for x in plan)
