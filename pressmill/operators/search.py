@@ -71,8 +71,13 @@ def keyword_leg(articles: DataFrame, text: str, limit: int, column: str = "title
 
 def passage_keyword_leg(passages: DataFrame, articles: DataFrame, text: str, limit: int, candidates: int = PASSAGE_CANDIDATES, index: TextIndex | None = None) -> DataFrame:
     """The best matching passage of every article. An index of passages has the key passage_id: (article_id, idx)."""
-    rows = passages.join(articles.select("article_id", "published_at"), "article_id").withColumn("passage_id", F.struct("article_id", "idx"))
-    found = keyword_leg(rows, text, candidates, column="passage", key="passage_id", index=index)
+    keyed, known = passages.withColumn("passage_id", F.struct("article_id", "idx")), articles.select("article_id", "published_at")
+    if index is None:
+        found = keyword_leg(keyed.join(known, "article_id"), text, candidates, column="passage", key="passage_id")
+    else:
+        # The ids alone are looked up; the passages' texts meet the few hits before anything is shuffled.
+        hits = index.search(text, candidates, keyed.select("article_id", "passage_id").join(known.select("article_id"), "article_id", "left_semi"))
+        found = keyed.join(F.broadcast(hits.select("passage_id", "rank")), "passage_id").join(known, "article_id")
     return fold_passages(found, [F.desc("rank"), F.desc("published_at"), F.asc("article_id"), F.asc("idx")], limit)
 
 

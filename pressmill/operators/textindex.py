@@ -15,9 +15,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,7 @@ from pressmill.functions import stemming
 
 # Fixed values of the reference's rank: weight of a place, limit of the sum of 1 / j**2, places kept, floor of a match.
 WEIGHT, SUM_LIMIT, PLACES, LAST_PLACE, LEAST = 0.1, 1.64493406685, 256, 16383, 1e-20
+SPREAD = 16  # tasks that a term's blocks are dealt over at build
 SUMS = [0.0]
 for _j in range(1, PLACES + 1):
     SUMS.append(SUMS[-1] + 1 / _j**2)
@@ -146,6 +151,57 @@ def scan(rows: DataFrame, text: str, limit: int, *, column: str, key: str, publi
     return best_first(_found(placed.select(key, published, F.col("e.term").alias("term"), F.col("e.places").alias("places")), q, [key, published]), limit, key, published)
 
 
+def _lists(values: pa.Array, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), values)
+
+
+def _of_block(block: pa.Table, term_of: Callable[[str], str]) -> pa.RecordBatch | None:
+    """The posting lists (term, block, postings, most) of the texts of one block."""
+    block = block.combine_chunks()
+    words = block.column("words").combine_chunks()
+    words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+    coded = words.flatten().dictionary_encode()
+    terms = [term_of(w) for w in coded.dictionary.to_pylist()]
+    names = sorted(set(terms) - {""})
+    if not names:
+        return None
+    number = {t: k for k, t in enumerate(names)}
+    term = np.array([number.get(t, -1) for t in terms])[coded.indices.to_numpy()]
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    order = np.lexsort((text, term))  # stable, so places stay in order
+    order = order[term[order] >= 0]
+    term, text, place = term[order], text[order], place[order]
+    entry = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (text[1:] != text[:-1])]))
+    first = np.flatnonzero(np.concatenate([[True], np.diff(term[entry]) != 0]))
+    counts = np.diff(np.append(entry, len(term)))
+    at = pa.array(text[entry])
+    column = lambda c: block.column(c).take(at).combine_chunks()
+    whole = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (column("id"), column("at"))]
+    postings = pa.StructArray.from_arrays([*whole, _lists(pa.array(place.astype(np.int32)), entry)], ["id", "at", "places"])
+    number_of_block = np.full(len(first), block.column("block")[0].as_py(), dtype=np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(number_of_block), _lists(postings, first), pa.array(np.maximum.reduceat(counts, first).astype(np.int32))], ["term", "block", "postings", "most"])
+
+
+def _posted(batches: Iterator[pa.RecordBatch], analyzer: str) -> Iterator[pa.RecordBatch]:
+    """The posting lists of texts that come block by block; only the current block's texts are held."""
+    term_of, held, current = stemming.ANALYZERS[analyzer], [], None
+    for batch in batches:
+        numbers = batch.column("block").to_numpy()
+        ends = np.append(np.flatnonzero(np.diff(numbers)) + 1, len(numbers))
+        start = 0
+        for end in ends if len(numbers) else ():
+            if held and numbers[start] != current:
+                if (done := _of_block(pa.Table.from_batches(held), term_of)) is not None:
+                    yield done
+                held = []
+            held.append(batch.slice(start, end - start))
+            current, start = numbers[start], end
+    if held and (done := _of_block(pa.Table.from_batches(held), term_of)) is not None:
+        yield done
+
+
 class TextIndex:
     """The index at a path. Ids are of any one type; one text for each id."""
 
@@ -156,13 +212,17 @@ class TextIndex:
 
     @classmethod
     def build(cls, rows: DataFrame, path: str, *, text: str, key: str, published: str, analyzer: str = "english", texts_per_block: int = 1024) -> TextIndex:
-        """Analyse every text once and write its posting lists. A null text has none."""
+        """Analyse every text once and write its posting lists. A null text has none.
+
+        The texts of a block come together, so that its posting lists are made in one go from arrays, and no posting is a row of
+        its own in a shuffle. A frequent term is dealt over some tasks by its blocks."""
         blocks = max(1, math.ceil(rows.count() / texts_per_block))
         block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-        placed = rows.select(F.col(key).alias("id"), F.col(published).alias("at"), block.alias("block"), F.explode(stemming.entries(analyzer)(stemming.words(F.col(text)))).alias("e"))
-        posting = F.struct("id", "at", F.col("e.places").alias("places"))
-        lists = placed.groupBy(F.col("e.term").alias("term"), "block").agg(F.sort_array(F.collect_list(posting)).alias("postings"), F.max(F.size("e.places")).alias("most"))
-        lists.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.option("parquet.block.size", 16 << 20).parquet(path)
+        texts = rows.select(F.col(key).alias("id"), F.col(published).alias("at"), block.alias("block"), F.col(text).alias("text"))
+        dealt = texts.repartition("block").sortWithinPartitions("block", "id").select("id", "at", "block", stemming.words(F.col("text")).alias("words"))
+        id_kind, at_kind = (dealt.schema[c].dataType.simpleString() for c in ("id", "at"))
+        lists = dealt.mapInArrow(partial(_posted, analyzer=analyzer), f"term string, block int, postings array<struct<id: {id_kind}, at: {at_kind}, places: array<int>>>, most int")
+        lists.repartition("term", F.pmod("block", F.lit(SPREAD))).sortWithinPartitions("term", "block").write.option("parquet.block.size", 16 << 20).parquet(path)
         return cls(rows.sparkSession, path, key, published, analyzer)
 
     def read(self) -> DataFrame:
@@ -198,5 +258,5 @@ class TextIndex:
         lists = self.read().where(F.col("term").isin(q.terms)).join(blocks.select("block"), "block", "left_semi")
         entries = lists.select("term", "block", F.explode("postings").alias("p")).select("term", "block", F.col("p.id").alias(self.key), F.col("p.at").alias(self.published), F.col("p.places").alias("places"))
         if among is not None:
-            entries = entries.join(among.select(self.key).distinct(), self.key, "left_semi")
+            entries = entries.join(among.select(self.key), self.key, "left_semi")
         return _found(entries, q, ["block", self.key, self.published]).drop("block")

@@ -114,3 +114,18 @@ def test_passages_fold_to_articles(spark, tmp_path):
     index = TextIndex.build(keyed, f"file://{tmp_path}/p", text="passage", key="passage_id", published="published_at")
     for leg in (search.passage_keyword_leg(passages, articles, "storms", 5, index=index), search.passage_keyword_leg(passages, articles, "storms", 5)):
         assert [(r.article_id, r.idx, r.passage) for r in leg.collect()] == [(1, 1, "storm storm storm"), (3, 5, "storm storm")]
+
+
+def test_postings_are_no_rows_of_their_own(spark, tmp_path, rows):
+    """Texts are dealt by block and come back as whole posting lists, block after block, whatever the batches."""
+    import pyarrow as pa
+
+    texts = [(k, 1 + (k > 2), [f"w{j % (k + 1)}" for j in range(6)]) for k in range(5)] + [(7, 3, None)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*[(k, k * 10, b, w) for k, b, w in texts], strict=True)], ["id", "at", "block", "words"])
+    lists = [r for out in textindex._posted(iter([batch.slice(0, 2), batch.slice(2, 0), batch.slice(2, 3), batch.slice(5)]), "simple") for r in out.to_pylist()]
+    want = {}
+    for k, b, words in texts:
+        for place, w in enumerate(words or (), 1):
+            want.setdefault((w, b), {}).setdefault(k, []).append(place)
+    assert {(r["term"], r["block"]): ({p["id"]: p["places"] for p in r["postings"]}, r["most"]) for r in lists} == {key: (p, max(map(len, p.values()))) for key, p in want.items()}
+    assert all(p["at"] == p["id"] * 10 for r in lists for p in r["postings"])
