@@ -22,6 +22,7 @@ from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,6 +33,7 @@ from pressmill.operators.search import dot
 
 PARTS, CODES, SAMPLED, SEED = 16, 64, 50_000, 7
 TUNERS, TARGET = 100, 0.985
+BLOCK, CODED_BLOCK, SLICE, DEALT = 8_192, 65_536, 32, 8_192  # vectors and codes of a group, queries compared at a time, queries of a group
 
 
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
@@ -80,28 +82,79 @@ def _coded(batches: Iterator[pa.RecordBatch], centres: np.ndarray, books: np.nda
         yield pa.RecordBatch.from_arrays([batch.column("list"), batch.column("key"), pa.array(np.sqrt((rest * rest).sum(axis=1))), codes], ["list", "key", "off", "code"])
 
 
-def _probes(batches: Iterator[pa.RecordBatch], lo: int, hi: int, centres: np.ndarray, radius: np.ndarray, books: np.ndarray, coded: bool) -> Iterator[pa.RecordBatch]:
-    """Each query's lists from place `lo` to `hi`, with its distances to all patterns there and a bound of what is left."""
+def _probes(batches: Iterator[pa.RecordBatch], lo: int, hi: int, centres: np.ndarray, radius: np.ndarray, blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each query's lists from place `lo` to `hi`, a row for each block of lists, with a bound of what is left."""
     for batch in batches:
-        for start in range(0, batch.num_rows, 64):
-            part = batch.slice(start, 64)
-            if not part.num_rows:
-                continue
-            q = _matrix(part.column("unit"), part.num_rows)
-            far = np.sqrt(_squares(q, centres))
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            far = np.sqrt(_squares(_matrix(part.column("unit"), part.num_rows), centres))
             order = far.argsort(axis=1, kind="stable")
-            at = order[:, lo:hi]
             nearest = np.maximum(np.take_along_axis(far, order, 1) - radius[order], 0)
             left = nearest[:, hi:].min(axis=1, initial=np.inf)
-            n, width = at.shape[1], books.shape[2]
-            if coded:
-                rest = q[:, None, :] - centres[at]
-                tables = np.concatenate([_squares(rest[:, :, j * width : (j + 1) * width], books[j]) for j in range(len(books))], axis=2).reshape(part.num_rows * n, -1)
+            rows, block, lists = [], [], []
+            for k, at in enumerate(order[:, lo:hi]):
+                of = blocks[at]
+                for b in np.unique(of):
+                    rows.append(k)
+                    block.append(b)
+                    lists.append(at[of == b].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part.column("query").take(pa.array(rows, pa.int64())), part.column("unit").take(pa.array(rows, pa.int64())), pa.array(block, pa.int32()), pa.array(lists, pa.list_(pa.int32())), pa.array(left[rows])], ["query", "unit", "block", "lists", "left"])
+
+
+def _ranks(keys: pa.ChunkedArray) -> np.ndarray:
+    """The place of each key in the keys' order."""
+    if pa.types.is_struct(keys.type):
+        values = [tuple(x.values()) for x in keys.to_pylist()]
+        order = np.array(sorted(range(len(values)), key=values.__getitem__), dtype=np.int64)
+    else:
+        order = pc.sort_indices(keys).to_numpy()
+    ranks = np.empty(len(order), dtype=np.int64)
+    ranks[order] = np.arange(len(order))
+    return ranks
+
+
+def _met(looks: pa.Table, rows: pa.Table, most: int, centres: np.ndarray, books: np.ndarray | None) -> pa.Table:
+    """The `most` best rows of a block for each query that looks into it: (query, list, key, score). The score is the distance,
+    or by `books` that of the codes. Only SLICE queries are compared at a time."""
+    schema = pa.schema([looks.schema.field("query"), ("list", pa.int32()), rows.schema.field("key"), ("score", pa.float64())])
+    if not looks.num_rows or not rows.num_rows:
+        return schema.empty_table()
+    lists, ranks, n = rows.column("list").to_numpy(), _ranks(rows.column("key")), rows.num_rows
+    data = rows.column("unit" if books is None else "code").combine_chunks()
+    data = data.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    data = data.astype(np.float64) if books is None else data
+    members = {k: np.flatnonzero(lists == k) for k in np.unique(lists)}
+    asked, at, scores = [], [], []
+    for start in range(0, looks.num_rows, SLICE):
+        part = looks.slice(start, SLICE)
+        q = part.column("unit").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+        wanted = part.column("lists").to_pylist()
+        score = np.full((part.num_rows, n), np.inf)
+        seekers: dict[int, list[int]] = {}
+        for k, own in enumerate(wanted):
+            for x in own:
+                seekers.setdefault(x, []).append(k)
+        for x, who in seekers.items():
+            if (own := members.get(x)) is None:
+                continue
+            if books is None:
+                found = 1 - q[who] @ data[own].T
             else:
-                tables = np.zeros((part.num_rows * n, 1))
-            rows = np.repeat(np.arange(part.num_rows), n)
-            table = pa.ListArray.from_arrays(np.arange(0, tables.size + 1, tables.shape[1], dtype=np.int32), pa.array(tables.reshape(-1).astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([part.column("query").take(pa.array(rows)), part.column("unit").take(pa.array(rows)), pa.array(at.reshape(-1).astype(np.int32)), pa.array(left[rows]), table], ["query", "unit", "list", "left", "table"])
+                rest, width, found = q[who] - centres[x], books.shape[2], np.zeros((len(who), len(own)))
+                for j, book in enumerate(books):
+                    found += _squares(rest[:, j * width : (j + 1) * width], book).astype(np.float32)[:, data[own, j]]
+            score[np.ix_(who, own)] = found
+        cut = np.partition(score, most - 1, axis=1)[:, most - 1] if most < n else np.full(part.num_rows, np.inf)
+        for k, row in enumerate(score):
+            # Sums by the matrix product may differ in the last bits, so the distances of all that may count are added up in order.
+            near = np.flatnonzero((row <= cut[k] + 1e-9) & np.isfinite(row))
+            value = 1 - np.cumsum(data[near] * q[k], axis=1)[:, -1] if books is None else row[near]
+            best = np.lexsort((ranks[near], value))[:most]
+            asked.append(np.full(len(best), start + k))
+            at.append(near[best])
+            scores.append(value[best])
+    asked, at = pa.array(np.concatenate(asked)), pa.array(np.concatenate(at))
+    return pa.Table.from_arrays([looks.column("query").take(asked), rows.column("list").take(at).cast(pa.int32()), rows.column("key").take(at), pa.chunked_array([np.concatenate(scores)])], schema=schema)
 
 
 class VectorIndex:
@@ -187,13 +240,16 @@ class VectorIndex:
         refine = 1 if exact else refine or self.refine
         dims = self.centres.shape[1]
         units = _filled(queries.select("query", unit(F.col("embedding")).alias("unit")), dims)
+        if not sum(self.sizes.values()):  # an empty index has no number of dimensions
+            units = units.where(F.lit(False))
         kind = dict(queries.dtypes)["query"]
-        probed = f"query {kind}, unit array<float>, list int, left double, table array<float>"
+        probed = f"query {kind}, unit array<float>, block int, lists array<int>, left double"
+        blocks = self._blocks(BLOCK if exact else CODED_BLOCK)
         lo, hi, found, waiting = 0, min(probes or self.probes, len(self.centres)), None, units
         while True:
-            step = partial(_probes, lo=lo, hi=hi, centres=self.centres, radius=self.radius, books=self.books, coded=not exact)
+            step = partial(_probes, lo=lo, hi=hi, centres=self.centres, radius=self.radius, blocks=blocks)
             looks = waiting.mapInArrow(step, probed)
-            hits = self._hits(looks, limit, among, refine, exact)
+            hits = self._hits(looks, blocks, limit, among, refine, exact)
             found = _nearest(hits if found is None else found.unionByName(hits), limit, self.key).drop("place").checkpoint()
             if hi >= len(self.centres):
                 break
@@ -211,19 +267,34 @@ class VectorIndex:
             lo, hi = hi, min(4 * hi, len(self.centres))
         return _nearest(found if explain else found.drop("list", "k"), limit, self.key)
 
-    def _hits(self, looks: DataFrame, limit: int, among: DataFrame | None, refine: int, exact: bool) -> DataFrame:
-        codes = self.codes if not exact else self.codes.select("list", "key")
+    def _blocks(self, most: int) -> np.ndarray:
+        """Of each list its block: neighbouring lists that hold some `most` vectors together."""
+        sizes = np.array([self.sizes[k] for k in range(len(self.centres))])
+        return ((np.cumsum(sizes) - sizes) // most).astype(np.int32)
+
+    def _hits(self, looks: DataFrame, blocks: np.ndarray, limit: int, among: DataFrame | None, refine: int, exact: bool) -> DataFrame:
+        """Blocks of lists meet the queries that look into them. A block is cut into parts by its rows' hash where a list is large,
+        and the queries of a block are dealt, so that no group grows with the table."""
+        rows = self.vectors if exact else self.codes.select("list", "key", "code")
         if among is not None:
-            codes = codes.join(among.select(F.col(self.key).alias("key")).distinct(), "key", "left_semi")
-        met = looks.join(codes, "list")
+            rows = rows.join(among.select(F.col(self.key).alias("key")).distinct(), "key", "left_semi")
+        sizes = np.bincount(blocks, weights=[self.sizes[k] for k in range(len(self.centres))])
+        parts = [max(1, round(x / (BLOCK if exact else CODED_BLOCK))) for x in sizes]
+        dealt = max(1, math.ceil(looks.select("query").distinct().count() / DEALT))
+        at = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("list") + 1)
+        of_block = F.element_at(F.array(*[F.lit(p) for p in parts]), F.col("block") + 1)
+        rows = rows.withColumn("block", at).withColumn("part", F.pmod(F.xxhash64("key"), of_block)).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))))
+        looks = looks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), of_block.cast("long") - 1))).withColumn("deal", F.pmod(F.xxhash64("query"), F.lit(dealt)).cast("int"))
+        q, k = looks.schema["query"].dataType.simpleString(), self.vectors.schema["key"].dataType.simpleString()
+        cell, most = ["block", "part", "deal"], limit if exact else limit * refine
+        step = partial(_met, most=most, centres=self.centres, books=None if exact else self.books)
+        met = looks.drop("left").groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInArrow(step, f"query {q}, list int, key {k}, score double")
         if exact:
-            met = met.withColumn("k", F.lit(None).cast("int"))
-        else:
-            each = self.books.shape[1]
-            rough = F.aggregate(F.transform("code", lambda c, j: F.get("table", j * each + c)), F.lit(0.0), lambda t, x: t + x.cast("double"))
-            place = F.row_number().over(Window.partitionBy("query").orderBy("rough", "key"))
-            met = met.select("query", "unit", "list", "key", rough.alias("rough")).withColumn("k", place).where(F.col("k") <= limit * refine)
-        near = met.select("query", F.col("unit").alias("q"), "list", "key", "k").join(self.vectors, ["list", "key"])
+            return met.select("query", "list", F.lit(None).cast("int").alias("k"), F.col("key").alias(self.key), F.col("score").alias("distance"))
+        place = F.row_number().over(Window.partitionBy("query").orderBy("score", "key"))
+        met = met.withColumn("k", place).where(F.col("k") <= most)
+        units = looks.select("query", F.col("unit").alias("q")).dropDuplicates(["query"])
+        near = met.join(self.vectors, ["list", "key"]).join(units, "query")
         return near.select("query", "list", "k", F.col("key").alias(self.key), (1 - dot(F.col("unit"), F.col("q"))).alias("distance"))
 
     def read_share(self, queries: DataFrame, probes: int | None = None) -> float:

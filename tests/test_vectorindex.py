@@ -76,3 +76,16 @@ def test_odd_vectors_and_tables(spark, index, vectors, tmp_path):
     assert answers(empty.search(asked(spark, vectors, [1]), 5)) == {}
     few = VectorIndex.build(table(spark, [[1.0, 0, 0], [0, 1.0, 0], [1.0, 0.1, 0]]), f"file://{tmp_path}/f")
     assert answers(few.search(spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query bigint, embedding array<float>"), 5)) == {1: [0, 2, 1]}
+
+
+def test_blocks_and_parts_change_nothing(spark, index, vectors, monkeypatch):
+    """Groups are bounded whatever the table's size, and what leaves one is cut to the result."""
+    from pressmill.operators import vectorindex
+
+    ids = [5, 40, 333]
+    whole = answers(index.search(asked(spark, vectors, ids), 15))
+    for name, most in (("BLOCK", 20), ("CODED_BLOCK", 20), ("DEALT", 2)):
+        monkeypatch.setattr(vectorindex, name, most)
+    assert answers(index.search(asked(spark, vectors, ids), 15)) == whole
+    got = answers(index.search(asked(spark, vectors, ids), 15, exact=True, probes=2))
+    assert got == {k: plain(vectors, vectors[k], 15) for k in ids}
