@@ -81,6 +81,7 @@ def new_since(articles: DataFrame, limit: int, *, after_seq: int | None = None,
     return articles.orderBy(seq).limit(limit)
 
 
+SALTS = 16
 _SUBSCRIBABLE = {"theme", "domain", "text", "min_negativity"}
 
 
@@ -118,7 +119,11 @@ def match_subscriptions(articles: DataFrame, subscriptions: DataFrame, key: str
     common = had.join(asked.select("kind", "value").distinct(), ["kind", "value"], "left_semi").groupBy("kind", "value").agg(F.count("*").alias("n"))
     rarity = F.struct(F.coalesce("n", F.lit(0)), "kind")
     filed = asked.join(common, ["kind", "value"], "left").groupBy("subscription_id").agg(F.min_by(F.struct("kind", "value"), rarity).alias("c")).select("subscription_id", "c.kind", "c.value")
-    met = had.join(filed, ["kind", "value"]).select("subscription_id", key)
+    # Filters of unknown size would have Spark broadcast the articles instead, through the driver; a label that many articles
+    # have is dealt over SALTS tasks.
+    salted = lambda rows: rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    spread = lambda rows: rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    met = salted(had).join(spread(filed), ["kind", "value", "_salt"]).select("subscription_id", key)
 
     free = s.where("f_domain IS NULL AND f_theme IS NULL")
     by_text = holding(articles.select(F.col(key).alias("text_id"), F.lower("title").alias("text")), free.where("f_text <> ''").select(F.col("subscription_id").alias("pattern_id"), F.col("f_text").alias("pattern")))
@@ -127,11 +132,12 @@ def match_subscriptions(articles: DataFrame, subscriptions: DataFrame, key: str
     whole = lambda c: F.least(F.greatest(F.floor(c), F.lit(-1)), F.lit(100)).cast("int")
     by_tone = free.where("f_text IS NULL OR f_text = ''").select("subscription_id", F.coalesce(whole(F.col("f_tone")), F.lit(-1)).alias("step"))
     steps = articles.select(key, F.explode(F.sequence(F.lit(-1), F.coalesce(whole(F.col("tone_neg")), F.lit(-1)))).alias("step"))
-    met = met.unionByName(by_text).unionByName(steps.join(by_tone, "step").select("subscription_id", key))
+    steps = steps.join(F.broadcast(by_tone.select("step").distinct()), "step", "left_semi")  # 102 numbers at most
+    met = met.unionByName(by_text).unionByName(salted(steps).join(spread(by_tone), ["step", "_salt"]).select("subscription_id", key))
 
     theme_ok = F.col("f_theme").isNull() | F.when(prefix, F.expr("exists(themes, t -> startswith(t, substring(f_theme, 1, length(f_theme) - 1)))")).otherwise(F.expr("array_contains(themes, f_theme)"))
     ok = theme_ok & (F.col("f_domain").isNull() | (F.col("domain") == F.col("f_domain"))) & (F.col("f_text").isNull() | F.contains(F.lower("title"), "f_text")) & (F.col("f_tone").isNull() | (F.col("tone_neg") >= F.col("f_tone")))
-    return met.join(s, "subscription_id").join(articles, key).where(ok).select("subscription_id", *articles.columns)
+    return met.join(s, "subscription_id").join(articles.hint("merge"), key).where(ok).select("subscription_id", *articles.columns)
 
 
 def _as_long_as(n: int):

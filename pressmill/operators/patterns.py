@@ -33,7 +33,7 @@ def holding(texts: DataFrame, patterns: DataFrame, *, slice_chars: int = SLICE_C
         words = [r.pattern for r in dealt.where(F.col("slice") == k).select("pattern").collect()]
         found = texts.select("text_id", "text").mapInArrow(_walk(words), kinds)
         out = found if out is None else out.unionByName(found)
-    return out.join(groups, "pattern").select("text_id", F.explode("ids").alias("pattern_id"))
+    return out.join(groups.hint("merge"), "pattern").select("text_id", F.explode("ids").alias("pattern_id"))
 
 
 def _walk(words: list[str]):

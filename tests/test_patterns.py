@@ -49,3 +49,16 @@ def test_subscriptions_equal_plain_filters(spark):
     assert len(got) == len(want) and {(r.subscription_id, r.article_id) for r in got} == want
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
     assert filters.match_subscriptions(a.limit(0), s).count() == 0 and filters.match_subscriptions(a, s.limit(0)).count() == 0
+
+
+def test_articles_are_not_broadcast_to_filters(spark):
+    from pressmill.operators import filters
+
+    articles = spark.range(300).selectExpr("id AS article_id", "concat('T ', id) AS title", "concat('d', id % 3) AS domain", "array(concat('t', id % 5)) AS themes", "CAST(id % 90 AS FLOAT) AS tone_neg")
+    wanted = [(1, "t1", None, None, None), (2, None, "d2", None, 40.0), (3, "t*", "d0", None, 45.5), (4, None, None, "t 7", None), (5, None, None, None, 80.0), (6, None, None, None, None)]
+    s = spark.createDataFrame(wanted, "subscription_id int, theme string, domain string, text string, min_negativity double")
+    found = filters.match_subscriptions(articles, s).select("subscription_id", "article_id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and plan.count("BroadcastExchange") <= 2
+    ok = {1: lambda k: k % 5 == 1, 2: lambda k: k % 3 == 2 and k % 90 >= 40, 3: lambda k: k % 3 == 0 and k % 90 >= 45.5, 4: lambda k: "t 7" in f"t {k}", 5: lambda k: k % 90 >= 80, 6: lambda k: True}
+    assert sorted(tuple(r) for r in found.collect()) == sorted((n, k) for n, f in ok.items() for k in range(300) if f(k))
