@@ -62,7 +62,9 @@ def held_by(long: DataFrame, inside: DataFrame) -> DataFrame:
 
     Every place of the long texts is a row for each length that a beginning may have, so these should be few, such as queries;
     the others, which may be many, give one row each."""
-    inside = inside.where("text <> ''").withColumn("start", F.substring("text", 1, START))
+    longest = long.agg(F.max(F.length("text")).alias("longest"))  # a longer text stands in none; most titles are longer than any query
+    inside = inside.where("text <> ''").join(F.broadcast(longest), F.length("text") <= F.col("longest")).select("inside_id", "text").distinct()
+    inside = inside.withColumn("start", F.substring("text", 1, START))
     lengths = F.sequence(F.lit(1), F.lit(START))
     places = long.where("text <> ''").select("long_id", F.col("text").alias("whole"), F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at"))
     starts = places.select("long_id", "whole", F.explode(F.filter(lengths, lambda n: F.col("at") + n - 1 <= F.length("whole"))).alias("n"), "at")
