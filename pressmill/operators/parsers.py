@@ -32,17 +32,19 @@ def _first_reason(*cases: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(bad, F.lit(reason)) for bad, reason in cases])
 
 
-def _fields(raw: DataFrame) -> tuple[DataFrame, Column, Callable[[int], Column]]:
-    """`raw` with its line split once, the fields, and one field. As a column of its own the split is not repeated for every
-    field that is read."""
+def _fields(raw: DataFrame, url: int) -> tuple[DataFrame, Column, Callable[[int], Column]]:
+    """`raw` with its line split once, the fields, and one field, and with the URL in field `url`, stripped and in its normal
+    form. As columns of their own they are not worked out again for every field that is read."""
     c = F.col("_fields")
-    return raw.withColumn("_fields", F.split("line", "\t", -1)), c, lambda k: F.get(c, F.lit(k))
+    at = lambda k: F.get(c, F.lit(k))
+    raw = raw.withColumn("_fields", F.split("line", "\t", -1)).withColumn("_url", S.strip(at(url)))
+    return raw.withColumn("_normal", S.normalize_url(F.col("_url"))), c, at
 
 
 def parse_articles(raw: DataFrame) -> DataFrame:
     """`raw` with reason (null if good) and the article."""
-    raw, c, at = _fields(raw)
-    url, extras = S.strip(at(4)), at(26)
+    raw, c, at = _fields(raw, 4)
+    url, normal, extras = F.col("_url"), F.col("_normal"), at(26)
     title = S.strip(F.regexp_extract(extras, r"(?s)<PAGE_TITLE>(.*?)</PAGE_TITLE>", 1))
     precise = F.regexp_extract(extras, r"<PAGE_PRECISEPUBTIMESTAMP>(\d{14})</PAGE_PRECISEPUBTIMESTAMP>", 1)
     published = F.coalesce(_time(precise), _time(at(1)))
@@ -54,18 +56,18 @@ def parse_articles(raw: DataFrame) -> DataFrame:
         broken = broken | t.isNull()
     reason = _first_reason((F.size(c) != COLUMNS["gkg"], "bad_column_count"), (url == "", "missing_url"), (title == "", "missing_title"), (broken, "bad_field"))
     article = F.struct(
-        S.url_hash(url).alias("url_hash"), at(0).alias("gkg_record_id"), F.col("slot"), S.normalize_url(url).alias("url"), title.alias("title"),
+        F.sha2(normal, 256).alias("url_hash"), at(0).alias("gkg_record_id"), F.col("slot"), normal.alias("url"), title.alias("title"),
         S.text_or_null(at(3)).alias("domain"), published.alias("published_at"),
         S.name_list(F.coalesce(F.nullif(at(8), F.lit("")), at(7))).alias("themes"), S.name_list(at(12)).alias("persons"), S.name_list(at(14)).alias("orgs"),
         F.struct(tone[0].alias("tone"), tone[1].alias("positive"), tone[2].alias("negative"), tone[3].alias("polarity"), word_count.alias("word_count")).alias("tone"),
     )
-    return raw.withColumn("reason", reason).withColumn("article", F.when(F.col("reason").isNull(), article)).drop("_fields")
+    return raw.withColumn("reason", reason).withColumn("article", F.when(F.col("reason").isNull(), article)).drop("_fields", "_url", "_normal")
 
 
 def parse_events(raw: DataFrame) -> DataFrame:
     """`raw` with reason (null if good) and the event."""
-    raw, c, at = _fields(raw)
-    event_id, url, cameo = S.strip(at(0)), S.strip(at(60)), S.strip(at(26))
+    raw, c, at = _fields(raw, 60)
+    event_id, url, normal, cameo = S.strip(at(0)), F.col("_url"), F.col("_normal"), S.strip(at(26))
     date = F.when(at(1).rlike(r"^\d{8}\z"), F.try_to_timestamp(at(1), F.lit("yyyyMMdd"))).cast("date")
     added = _time(at(59))
     floats = {n: _number(at(k), "double") for n, k in (("goldstein", 30), ("avg_tone", 34), ("lat", 56), ("lon", 57))}
@@ -84,23 +86,23 @@ def parse_events(raw: DataFrame) -> DataFrame:
         event_id.try_cast("bigint").alias("event_id"), date.alias("event_date"), actor(5, 12).alias("actor1"), actor(15, 22).alias("actor2"),
         (S.strip(at(25)) == "1").alias("is_root"), cameo.alias("cameo_code"), S.text_or_null(at(27)).alias("cameo_base"), S.text_or_null(at(28)).alias("cameo_root"),
         quad.alias("quad_class"), floats["goldstein"][0].alias("goldstein"), *[v.alias(k) for k, v in counts.items()], floats["avg_tone"][0].alias("avg_tone"),
-        geo.alias("geo"), added.alias("date_added"), S.normalize_url(url).alias("source_url"), S.url_hash(url).alias("source_url_hash"),
+        geo.alias("geo"), added.alias("date_added"), normal.alias("source_url"), F.sha2(normal, 256).alias("source_url_hash"),
     )
-    return raw.withColumn("reason", reason).withColumn("event", F.when(F.col("reason").isNull(), event)).drop("_fields")
+    return raw.withColumn("reason", reason).withColumn("event", F.when(F.col("reason").isNull(), event)).drop("_fields", "_url", "_normal")
 
 
 def parse_mentions(raw: DataFrame) -> DataFrame:
     """`raw` with reason (null if good) and the mention."""
-    raw, c, at = _fields(raw)
-    event_id, url = S.strip(at(0)), S.strip(at(5))
+    raw, c, at = _fields(raw, 5)
+    event_id, url, normal = S.strip(at(0)), F.col("_url"), F.col("_normal")
     when_, (confidence, bad) = _time(at(2)), _number(at(11), "int")
     broken = when_.isNull() | bad | event_id.try_cast("bigint").isNull()
     reason = _first_reason((F.size(c) != COLUMNS["mentions"], "bad_column_count"), (~event_id.rlike(r"^\d+\z"), "missing_event_id"), (url == "", "missing_url"), (broken, "bad_field"))
     mention = F.struct(
-        event_id.try_cast("bigint").alias("event_id"), S.normalize_url(url).alias("url"), S.url_hash(url).alias("url_hash"),
+        event_id.try_cast("bigint").alias("event_id"), normal.alias("url"), F.sha2(normal, 256).alias("url_hash"),
         S.text_or_null(at(4)).alias("source_name"), when_.alias("mention_time"), confidence.alias("confidence"),
     )
-    return raw.withColumn("reason", reason).withColumn("mention", F.when(F.col("reason").isNull(), mention)).drop("_fields")
+    return raw.withColumn("reason", reason).withColumn("mention", F.when(F.col("reason").isNull(), mention)).drop("_fields", "_url", "_normal")
 
 
 PARSERS = {"gkg": (parse_articles, "article"), "events": (parse_events, "event"), "mentions": (parse_mentions, "mention")}
