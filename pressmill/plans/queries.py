@@ -1104,7 +1104,9 @@ _EVENT = {
     CASE WHEN reason IS NULL THEN 14 END AS counts, CASE WHEN reason IS NULL AND k % 5 = 0 THEN 'Oslo 38.5' END AS geo, CASE WHEN reason IS NULL THEN '2024-03-01 00:30:00' END AS date_added, CASE WHEN reason IS NULL THEN 'http://e.com/' || k END AS source_url
   FROM (SELECT *, c_custkey AS k FROM customer)""")
 def parsed_events(t):
-    raw = t.customer.withColumn("k", F.col("c_custkey")).selectExpr("'s' AS slot", "CAST(k AS INT) AS row_no", f"{B.feed_line(61, _EVENT)} AS line", "'events' AS kind")
+    # A task reads a row group at least, and a million customers fit in one: a few bytes each are dealt before their lines are made.
+    rows = t.customer.select(F.col("c_custkey").alias("k"), "c_mktsegment").repartition(2 * t.spark.sparkContext.defaultParallelism, "k")
+    raw = rows.selectExpr("'s' AS slot", "CAST(k AS INT) AS row_no", f"{B.feed_line(61, _EVENT)} AS line", "'events' AS kind")
     e = parsers.parse_events(raw).select("row_no", "reason", "event.*")
     dash = lambda c: F.coalesce(F.col(c), F.lit("-"))
     good = lambda c: F.when(F.col("reason").isNull(), c)

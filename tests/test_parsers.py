@@ -19,3 +19,11 @@ def test_a_line_takes_its_url_apart_once(spark):
     found = parsers.parse_mentions(raw.withColumn("kind", F.lit("mentions"))).select("reason", "mention.*")
     assert [(r.reason, r.url) for r in found.collect()] == [(None, "http://e.com/a")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 4  # scheme, host, path, query
+
+
+def test_customers_of_one_row_group_are_dealt(spark, tmp_path):
+    from pressmill.plans.queries import QUERIES
+
+    spark.range(1, 200).selectExpr("id AS c_custkey", "'A' AS c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = QUERIES["parsed_events"](spark, str(tmp_path))
+    assert "RepartitionByExpression" in rows._jdf.queryExecution().optimizedPlan().toString() and rows.count() == 199
