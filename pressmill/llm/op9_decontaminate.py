@@ -4,8 +4,8 @@
    passage frequency.
 2. A distributed randomised SVD of the benchmark's TF-IDF matrix (range finder with power iterations; every product with
    the matrix is a sum over partitions) gives a latent space of at most RANK dimensions.
-3. A stretch of text is looked at for the items of which enough words stand in it for the subsequence asked for below; most
-   stretches have no such item and end here. The others are cut into windows of 16, 32, 64 and 256 words, every half window; those of each width are compared with
+3. A stretch of text is looked at for the items of which enough words for the subsequence asked for below stand in it, as near
+   one another as in a window and the words around it; most stretches have no such item and end here. The others are cut into windows of 16, 32, 64 and 256 words, every half window; those of each width are compared with
    the items of a fitting length (SPANS), so that a short item is not diluted. Window vectors are projected and compared in
    blocks of items; pairs with a cosine of at least COSINE are candidates.
 4. A candidate is confirmed by the longest common subsequence of the item's words and the words around the window (at
@@ -37,7 +37,7 @@ RANK, OVERSAMPLE, POWER = 192, 16, 2
 PASSAGE, CHUNK = 32, 8
 SPANS = ((2, 0, 12), (4, 8, 48), (8, 24, 192), (32, 96, 1 << 40))  # windows of so many chunks for items of so many words
 COSINE, LCS, SURE, ANSWER, ANSWER_WORDS = 0.4, 0.6, 0.8, 0.5, 3
-MAX_ITEMS, MAX_WORDS, ITEM_BLOCK = 20_000, 100_000, 1024
+MAX_ITEMS, MAX_WORDS, ITEM_BLOCK, CELLS = 20_000, 100_000, 1024, 1 << 20
 STRETCH = 768  # words; a multiple of half of every window
 SEED = 11
 WORD = re.compile(r"\w+")
@@ -61,6 +61,13 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
+def runs(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges first to end, each with its range's place."""
+    sizes = end - first
+    upto = np.cumsum(sizes)
+    return np.repeat(np.arange(len(sizes)), sizes), np.arange(upto[-1] if len(upto) else 0) + np.repeat(first - upto + sizes, sizes)
+
+
 def answer_words(text: str) -> set[str]:
     """Distinct words of the last sentence, with those before it while they are fewer than ANSWER_WORDS."""
     found: set[str] = set()
@@ -175,20 +182,43 @@ class Searcher:
         self.need = LCS * sizes
         # Which items have a word, and how often: postings of word w are postings[starts[w] : starts[w + 1]].
         held = sorted((w, k, c) for k, counts in enumerate(self.counts) for w, c in counts.items())
-        self.starts = np.searchsorted(np.array([h[0] for h in held], np.int64), np.arange(len(vocabulary) + 1)).tolist()
+        self.starts = np.searchsorted(np.array([h[0] for h in held], np.int64), np.arange(len(vocabulary) + 1))
+        self.words_from = np.cumsum([0, *(len(counts) for counts in self.counts)])
+        self.held_words = np.array([w for counts in self.counts for w in counts], np.int64)
+        self.held_times = np.array([c for counts in self.counts for c in counts.values()], np.int64)
         self.postings, self.times = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.float64)
+        # A match has so many of the item's words among so many words of the text, as it is told from a window and n words around it.
+        self.least = np.ceil(self.need - 1e-9).astype(np.int64)
+        self.reach = 2 * sizes
+        for span, at in self.fitting:  # spans grow
+            self.reach[at] = CHUNK * span + 2 * sizes[at]
         # Stretches overlap by a window and an item on each side of it, so every match lies whole in one of them.
         self.overlap = CHUNK * max([span for span, _ in self.fitting], default=1) + 2 * int(sizes.max(initial=0))
         self.stretch = -(-max(STRETCH, 2 * self.overlap) // STRETCH) * STRETCH
 
     def possible(self, ids: np.ndarray) -> np.ndarray:
-        """Items of which enough words are among the ids, wherever they stand."""
-        starts = self.starts
-        spans = [slice(starts[w], starts[w + 1]) for w in np.unique(ids[ids >= 0]).tolist()]
-        if not spans:
-            return np.zeros(len(self.items), bool)
-        held = np.bincount(np.concatenate([self.postings[x] for x in spans]), np.concatenate([self.times[x] for x in spans]), len(self.items))
-        return held >= self.need - 1e-9
+        """Items of which enough words are among the ids, and close enough together in one place at least."""
+        known = ids >= 0
+        own, where = ids[known], np.flatnonzero(known)
+        order = np.argsort(own, kind="stable")
+        own, where = own[order], where[order]
+        distinct = own[np.append(True, own[1:] != own[:-1])] if len(own) else own
+        at = runs(self.starts[distinct], self.starts[distinct + 1])[1]
+        possible = np.bincount(self.postings[at], self.times[at], len(self.items)) >= self.need - 1e-9
+        items, wide = np.flatnonzero(possible), len(ids) + 1
+        step = max(1, CELLS // wide)
+        for part in (items[k : k + step] for k in range(0, len(items), step)):
+            row, held = runs(self.words_from[part], self.words_from[part + 1])
+            first = np.searchsorted(own, self.held_words[held], "left")
+            held_in, at = runs(first, np.searchsorted(own, self.held_words[held], "right"))
+            row, times, places = row[held_in], self.held_times[held][held_in], where[at]
+            # A word counts as often as the item has it: in the stretches of `reach` words that hold this occurrence and not
+            # the one so many places before it.
+            full = at - first[held_in] >= times
+            begin = np.maximum(np.where(full, where[np.where(full, at - times, 0)] + 1, 0), places - self.reach[part][row] + 1)
+            steps = np.bincount(row * wide + np.maximum(begin, 0), minlength=len(part) * wide) - np.bincount(row * wide + places + 1, minlength=len(part) * wide)
+            possible[part] = np.cumsum(steps).reshape(len(part), wide).max(axis=1) >= self.least[part]
+        return possible
 
     def candidates(self, ids: np.ndarray, cosine: float, possible: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(item, first and last word of the window, likeness)."""

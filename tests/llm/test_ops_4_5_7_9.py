@@ -255,3 +255,27 @@ def test_recall_of_reworded_items_by_length(least, most):
 )
 def test_op7_hidden_elements_nest(html, runs):
     assert [text for _, text in op7_html.Page(html).runs] == runs
+
+
+def test_op9_words_must_stand_near_one_another():
+    """Only stretches in which enough of an item's words are close together are compared; none with a match is left out."""
+    names = [f"w{k}" for k in range(40)]
+    vocabulary = {w: k for k, w in enumerate(names)}
+    items = [(1, " ".join(names[:20])), (2, " ".join([*names[20:30], *["w39"] * 4])), (3, " ".join(names[10:35]))]
+    searcher = op9_decontaminate.Searcher(vocabulary, np.ones(40), np.eye(40, dtype=np.float32), items)
+    ids = lambda words: np.array([vocabulary.get(w, -1) for w in words], np.int64)
+    spread = [w for k in range(20) for w in (names[k], *["other"] * 20)]
+    assert not searcher.possible(ids(spread)).any()
+    assert searcher.possible(ids(["other"] * 50 + names[:12] + ["other"] * 50)).tolist() == [True, False, False]
+    # A word counts no more often than the item has it.
+    assert not searcher.possible(ids(["w39"] * 60 + names[20:24] + ["w39"] * 60)).any()
+    assert searcher.possible(ids(names[20:25] + ["w39"] * 60)).tolist() == [False, True, False]
+
+    random_ = random.Random(5)
+    for _ in range(300):
+        text = ids([random_.choice([*names, "other"]) for _ in range(random_.randrange(1, 300))])
+        found = []
+        for counts, reach, least in zip(searcher.counts, searcher.reach, searcher.least, strict=True):
+            parts = [text[a : a + reach].tolist() for a in range(len(text))]
+            found.append(max(sum(min(part.count(w), n) for w, n in counts.items()) for part in parts) >= least)
+        assert searcher.possible(text).tolist() == found
