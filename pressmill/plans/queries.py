@@ -1060,9 +1060,9 @@ def feed_store(t):
         store.absorb(messages.where(F.col("batch") == batch), batch)
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     parts = [
-        store.articles.read().select(F.lit("article").alias("kind"), F.col("url").alias("id"), F.col("title").alias("value")),
-        store.events.read().select(F.lit("event"), F.col("event_id").cast("string"), day("date_added")),
-        store.mentions.read().select(F.lit("mention"), F.concat_ws(" ", "event_id", "url"), day("mention_time")),
+        store.articles.read("url", "title").select(F.lit("article").alias("kind"), F.col("url").alias("id"), F.col("title").alias("value")),
+        store.events.read("event_id", "date_added").select(F.lit("event"), F.col("event_id").cast("string"), day("date_added")),
+        store.mentions.read("event_id", "url", "mention_time").select(F.lit("mention"), F.concat_ws(" ", "event_id", "url"), day("mention_time")),
     ]
     return parts[0].union(parts[1]).union(parts[2])
 

@@ -53,11 +53,11 @@ def routed(raw: DataFrame) -> dict[str, DataFrame]:
 
 STATE = {
     "events": TableSpec(f"{schemas.CLEAN_EVENT}, ingested_at TIMESTAMP_NTZ", ("event_id",), "event_id", "ingested_at"),
-    "articles": TableSpec(f"{schemas.CLEAN_ARTICLE}, story_key STRING, story_id STRING, arrival STRING, ingested_at TIMESTAMP_NTZ, kept_from TIMESTAMP_NTZ", ("url_hash",), "url_hash", "kept_from"),
+    "articles": TableSpec(f"{schemas.CLEAN_ARTICLE}, story_key STRING, story_id STRING, arrival STRING, ingested_at TIMESTAMP_NTZ, kept_from TIMESTAMP_NTZ", ("url_hash",), "url_hash", "kept_from", once=True),
     # What a story is decided from, by story key.
-    "stories": TableSpec("story_key STRING, url_hash STRING, domain STRING, url STRING, published_at TIMESTAMP_NTZ, arrival STRING, kept_from TIMESTAMP_NTZ", ("url_hash",), "story_key", "kept_from"),
-    "mentions": TableSpec(f"{schemas.CLEAN_MENTION}, derived BOOLEAN, ingested_at TIMESTAMP_NTZ", ("event_id", "url_hash"), "url_hash", "ingested_at"),
-    "dlq": TableSpec(schemas.DEAD_LETTER, ("slot", "row_no", "kind"), "slot"),
+    "stories": TableSpec("story_key STRING, url_hash STRING, domain STRING, url STRING, published_at TIMESTAMP_NTZ, arrival STRING, kept_from TIMESTAMP_NTZ", ("url_hash",), "story_key", "kept_from", once=True),
+    "mentions": TableSpec(f"{schemas.CLEAN_MENTION}, derived BOOLEAN, ingested_at TIMESTAMP_NTZ", ("event_id", "url_hash"), "url_hash", "ingested_at", (("url_hash", "url", "sha2(url, 256)"),)),
+    "dlq": TableSpec(schemas.DEAD_LETTER, ("slot", "row_no", "kind"), "slot", once=True),
     "slots": TableSpec("slot STRING, kind STRING, md5 STRING, status STRING, attempts INT, row_count BIGINT", ("slot", "kind"), "slot"),
 }
 
@@ -74,8 +74,8 @@ class StateTable:
     store: RunStore
     name: str
 
-    def read(self) -> DataFrame:
-        return self.store.read(self.name)
+    def read(self, *columns: str) -> DataFrame:
+        return self.store.read(self.name, list(columns) or None)
 
     def versions(self) -> list[int]:
         """The batches whose state can still be read."""
@@ -122,18 +122,27 @@ class FeedStore:
             for rows in (raw, *parsed.values()):
                 rows.unpersist()
 
+    def _newest(self, table: str, rows: DataFrame, at: str, known: DataFrame) -> DataFrame:
+        """The newest row of each key of a batch, of equally new ones the later arrival, with what is known of the key. Known rows
+        (the key, what else it follows from, and more) move with the batch's, so that nothing is moved for a join."""
+        rows = rows.withColumns({"arrival": _arrival(), "_new": F.lit(True)}).drop("row_no", "_slot")
+        also = {c: F.max(c) for c in known.columns if c.startswith("_")}
+        order = F.when(F.col("_new"), F.struct(at, "arrival"))
+        return self.store.best(table, rows.unionByName(known, allowMissingColumns=True), order, also).drop("arrival", "_new")
+
     def _absorb_events(self, events: DataFrame, batch: int, now: datetime) -> None:
         """An event is replaced only by one added later."""
-        events = dedup.newest_in_batch(events.withColumn("arrival", _arrival()), ["event_id"], "date_added", "arrival").drop("arrival")
         known = self.store.lookup("events", events, ["event_id"], ["event_id", "date_added"]).withColumnRenamed("date_added", "_known")
+        events = self._newest("events", events, "date_added", known)
         newer = F.col("_known").isNull() | (F.col("_known") < F.col("date_added"))
-        self.store.write_run("events", events.join(known, "event_id", "left").where(newer).drop("_known").withColumn("ingested_at", _moment(now)), batch)
+        self.store.write_run("events", events.where(newer).drop("_known").withColumn("ingested_at", _moment(now)), batch)
 
     def _absorb_articles(self, articles: DataFrame, batch: int, now: datetime) -> DataFrame:
         """The batch's articles that are new, with their stories, written."""
         in_order = F.concat_ws(":", F.lpad(F.lit(batch).cast("string"), 12, "0"), "_slot", F.lpad(F.col("row_no").cast("string"), 10, "0"))
         articles = articles.withColumn("arrival", in_order).drop("row_no", "_slot")
-        fresh = dedup.first_by(articles, "url_hash", ["arrival"], self.store.lookup("articles", articles, ["url_hash"], ["url_hash"]))
+        known = self.store.lookup("articles", articles, ["url_hash"], ["url_hash"])
+        fresh = dedup.first_by(articles, "url_hash", ["arrival"], known)
         fresh = fresh.withColumn("story_key", S.story_key(F.col("title"))).persist()
         facts = ["story_key", "url_hash", "domain", "url", "published_at", "arrival"]
         past = self.store.lookup("stories", fresh, ["story_key"])
@@ -142,17 +151,18 @@ class FeedStore:
         heads = past.select(F.col("url_hash").alias("story_id"), F.col("kept_from").alias("_head"))
         # A copy is kept from when its main article came in, so that both go on the same day.
         times = {"ingested_at": _moment(now), "kept_from": F.coalesce("_head", _moment(now))}
-        written = self.store.write_run("articles", fresh.join(stories, "url_hash").join(heads, "story_id", "left").withColumns(times), batch)
+        decided = stories.join(heads, "story_id", "left")
+        written = self.store.write_run("articles", fresh.join(decided, "url_hash").withColumns(times), batch)
         self.store.write_run("stories", written.select(*facts, "kept_from"), batch)
         fresh.unpersist()
         return written
 
     def _absorb_mentions(self, mentions: DataFrame, batch: int, now: datetime) -> DataFrame:
         """The batch's mentions that count, written: one is replaced if it was derived, or by one made later; what comes in is real."""
-        mentions = dedup.newest_in_batch(mentions.withColumn("arrival", _arrival()), MENTION_KEY, "mention_time", "arrival").drop("arrival")
-        known = self.store.lookup("mentions", mentions, MENTION_KEY, [*MENTION_KEY, "derived", "mention_time"]).select(*MENTION_KEY, F.col("derived").alias("_derived"), F.col("mention_time").alias("_known"))
+        known = self.store.lookup("mentions", mentions, MENTION_KEY, [*MENTION_KEY, "url", "derived", "mention_time"])
+        known = known.select(*MENTION_KEY, "url", F.col("derived").alias("_derived"), F.col("mention_time").alias("_known"))
         newer = F.col("_known").isNull() | F.col("_derived") | (F.col("_known") < F.col("mention_time"))
-        real = mentions.join(known, MENTION_KEY, "left").where(newer).drop("_derived", "_known")
+        real = self._newest("mentions", mentions, "mention_time", known).where(newer).drop("_derived", "_known")
         return self.store.write_run("mentions", real.withColumns({"derived": F.lit(False), "ingested_at": _moment(now)}), batch)
 
     def _derive_mentions(self, real: DataFrame, fresh: DataFrame, batch: int, now: datetime) -> None:
@@ -161,7 +171,10 @@ class FeedStore:
         named = self.store.lookup("articles", real, ["url_hash"], told).unionByName(fresh.select(*told))
         copies = fresh.where("story_id <> url_hash").select(*told)
         earlier = self.store.lookup("mentions", copies, ["url_hash"], [*MENTION_KEY, "derived", "mention_time"])
-        sources = named.unionByName(copies).distinct().select("url_hash", F.col("story_id").alias("article_id"))
+        sources = named.unionByName(copies).where("story_id <> url_hash").distinct().select("url_hash", F.col("story_id").alias("article_id")).persist()
+        if sources.isEmpty():  # else the mentions would be dealt to meet nothing
+            sources.unpersist()
+            return
         of_copies = real.select(*MENTION_KEY, "derived", "mention_time").unionByName(earlier).withColumn("ingested_at", F.col("mention_time"))
         follow = dedup.derived_mentions(of_copies, sources).select("event_id", "url_hash", "derived", F.col("ingested_at").alias("mention_time")).persist()
         there = self.store.lookup("mentions", follow, MENTION_KEY, MENTION_KEY).unionByName(real.select(*MENTION_KEY))
@@ -170,6 +183,7 @@ class FeedStore:
         blank = {"source_name": F.lit(None).cast("string"), "confidence": F.lit(None).cast("int"), "ingested_at": _moment(now)}
         self.store.write_run("mentions", derived.withColumns(blank), batch, "d")
         follow.unpersist()
+        sources.unpersist()
 
     def _absorb_dead(self, parsed: dict[str, DataFrame], batch: int) -> None:
         dead = reduce(DataFrame.unionByName, map(parsers.dead_of, parsed.values())).dropDuplicates(DEAD_KEY)

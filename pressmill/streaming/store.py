@@ -8,6 +8,9 @@ a level are merged into one of the next, so a row is rewritten once a level.
 
 Which runs count is said by the newest manifest alone, one small file a batch that lists the runs of all tables: a batch is
 there as a whole or not at all, one that comes again changes nothing, and one that broke off is written over.
+
+Rows move once: they are dealt by bucket and slice of their key, and one key's rows are compared and written where they lie.
+What a table's other columns tell is not moved but worked out anew, and rows of tables whose keys come once are not compared.
 """
 
 from __future__ import annotations
@@ -20,18 +23,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RUN, DAY, BUCKET, BATCH = "_run", "_day", "_bucket", "_batch"
+RUN, DAY, BUCKET, BATCH, SLICE, ASKED = "_run", "_day", "_bucket", "_batch", "_slice", "_asked"
+SLICES = 8  # tasks that may share a bucket
+FEW = 100_000  # hits of a lookup that are broadcast, eight bytes each
 NEVER = "9999-12-31"
 
 
 @dataclass(frozen=True)
 class TableSpec:
-    """key: what replaces a row; by: the column that rows are looked up by; kept_from: the time that retention counts from."""
+    """key: what replaces a row; by: the column that rows are looked up by; kept_from: the time that retention counts from;
+    follows: columns that follow from another one (name, the other, SQL); once: no key is written again while its row counts."""
 
     schema: str
     key: tuple[str, ...]
     by: str
     kept_from: str | None = None
+    follows: tuple[tuple[str, str, str], ...] = ()
+    once: bool = False
 
 
 class RunStore:
@@ -88,9 +96,27 @@ class RunStore:
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{table}").parquet(*[r["dir"] for r in runs])
 
     def _latest(self, table: str, rows: DataFrame) -> DataFrame:
-        """Of each key the row of the latest run, with the store's own columns."""
-        key = self.tables[table].key
-        return rows.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(key)]).agg(F.max_by(F.struct(*rows.columns), BATCH).alias("r")).select("r.*")
+        """Of each key the row of the latest run."""
+        if self.tables[table].once:
+            return rows
+        return self.best(table, rows, F.col(BATCH))
+
+    def dealt(self, table: str, rows: DataFrame) -> DataFrame:
+        """`rows` with BUCKET and SLICE and dealt by them, so that a key's rows lie together and as they are written."""
+        if SLICE in rows.columns:
+            return rows
+        spec = self.tables[table]
+        rows = rows.withColumns({BUCKET: self.bucket(F.col(spec.by)), SLICE: F.pmod(F.xxhash64(F.lit(1), *spec.key), F.lit(SLICES)).cast("int")})
+        again = {name: F.expr(sql) for name, source, sql in spec.follows if {name, source} <= set(rows.columns)}
+        return rows.drop(*again).repartition(BUCKET, SLICE).withColumns(again).select(*rows.columns)
+
+    def best(self, table: str, rows: DataFrame, order: Column, also: dict[str, Column] | None = None) -> DataFrame:
+        """Of each key the row that is last in `order`, dealt; rows without an order are none. `also`: sums over all rows of a
+        key. Nothing but `dealt` shuffles."""
+        rows, place, also = self.dealt(table, rows), [BUCKET, SLICE, *self.tables[table].key], also or {}
+        whole = F.struct(*[c for c in rows.columns if c not in place and c not in also])
+        last = rows.groupBy(*place).agg(F.max_by(whole, order).alias("r"), *[c.alias(name) for name, c in also.items()])
+        return last.where("r is not null").select(*place, "r.*", *also)
 
     def expire(self, now: datetime) -> None:
         """From now on rows past retention at `now` are not seen. Their days are deleted with the next commit."""
@@ -110,13 +136,22 @@ class RunStore:
             # At most `buckets` numbers; they prune folders before a file is opened.
             touched = [r[0] for r in keys.select(self.bucket(F.col(spec.by)).alias("b")).distinct().collect()]
             rows = rows.where(F.col(BUCKET).isin(touched))
-            rows = rows.join(keys.select(*on).distinct(), on, "left_semi") if on else rows
-        rows = rows.select(*dict.fromkeys([*wanted, *spec.key, BATCH]))
+            rows = self._asked(rows, keys.select(*on), on) if on else rows
+        sources = [source for name, source, _ in spec.follows if name in (*wanted, *spec.key)]
+        rows = rows.select(*dict.fromkeys([*wanted, *spec.key, *sources, BATCH]))
         return (rows if len(runs) == 1 else self._latest(table, rows)).select(*wanted)
 
-    def read(self, table: str) -> DataFrame:
-        """All rows that count now."""
-        return self._current(table, self.manifest())
+    def _asked(self, rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+        """Rows whose columns `on` occur in `keys`. Hashes of both sides meet first; where few do, neither side is moved."""
+        hashed = lambda side: side.withColumn(ASKED, F.xxhash64(*on))
+        met = hashed(rows).select(ASKED).join(hashed(keys).select(ASKED).distinct(), ASKED, "left_semi").distinct().checkpoint()
+        met = F.broadcast(met) if met.count() <= FEW else met
+        meeting = lambda side: hashed(side).join(met, ASKED, "left_semi").drop(ASKED)
+        return meeting(rows).join(meeting(keys).distinct(), on, "left_semi")
+
+    def read(self, table: str, columns: list[str] | None = None) -> DataFrame:
+        """All rows that count now, or some of their columns."""
+        return self._current(table, self.manifest(), columns=columns)
 
     def lookup(self, table: str, keys: DataFrame, on: list[str], columns: list[str] | None = None) -> DataFrame:
         """Rows whose columns `on` occur in `keys`, which has the column that the table is looked up by: only the files that
@@ -132,8 +167,8 @@ class RunStore:
         spec = self.tables[table]
         names = T.StructType.fromDDL(spec.schema).names
         day = F.date_format(spec.kept_from, "yyyy-MM-dd") if spec.kept_from else F.lit(NEVER)
-        laid = rows.select(*names, BATCH, F.coalesce(day, F.lit(NEVER)).alias(DAY), self.bucket(F.col(spec.by)).alias(BUCKET))
-        laid.repartition(self.buckets, BUCKET).sortWithinPartitions(DAY, BUCKET, spec.by).write.mode("overwrite").partitionBy(DAY, BUCKET).parquet(folder)
+        laid = self.dealt(table, rows).select(*names, BATCH, F.coalesce(day, F.lit(NEVER)).alias(DAY), BUCKET)
+        laid.sortWithinPartitions(DAY, BUCKET, spec.by).write.mode("overwrite").partitionBy(DAY, BUCKET).parquet(folder)
 
     def write_run(self, table: str, rows: DataFrame, batch: int, part: str = "") -> DataFrame:
         """Write rows of a batch and read them back; they count once the batch is committed. Parts of a batch hold different
@@ -170,10 +205,10 @@ class RunStore:
         while sum(r["level"] == level for r in runs) >= self.fan:
             old = [r for r in runs if r["level"] == level]
             folder = f"{self.path}/{table}/{RUN}=b{manifest['batch']:012d}-l{level + 1}"
-            rows = self._runs(table, old)
+            rows = self._runs(table, old).drop(RUN)
             if manifest["cutoff"] and self.tables[table].kept_from:
                 rows = rows.where(F.col(DAY) >= manifest["cutoff"][:10])
-            self._write(table, self._latest(table, rows), folder)
+            self._write(table, self._latest(table, rows.drop(DAY)), folder)
             manifest["merged"] += [{"dir": r["dir"], "at": manifest["batch"]} for r in old]
             runs = [r for r in runs if r["level"] != level] + [{"dir": folder, "level": level + 1}]
             level += 1

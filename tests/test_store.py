@@ -1,5 +1,6 @@
 """The state of runs against plain dictionaries, and the feed store's late, replayed, broken and expired rows."""
 
+import hashlib
 import random
 from datetime import datetime, timedelta
 
@@ -131,3 +132,18 @@ def test_dead_letters_once(spark, store):
     for batch in range(2):
         store.absorb(spark.createDataFrame(bad, schemas.RAW_MESSAGE), batch, NOW)
     assert sorted(r.kind for r in store.dead.read().collect()) == ["events", "gkg", "mentions"]
+
+
+def test_rows_of_a_table_move_once(spark, tmp_path):
+    """Keys that come once are read without a shuffle; of those that come again each row is dealt once, without its URL's hash."""
+    store = feed.FeedStore(spark, f"file://{tmp_path}/s", buckets=4)
+    old, new = mention(1, "http://a.com/1", "a"), mention(2, "http://a.com/1", "a")
+    store.absorb(messages(spark, ("gkg", article(1, "a.com", "http://a.com/1", TITLE)), ("mentions", old), ("mentions", new)), 0, NOW)
+    store.absorb(messages(spark, ("gkg", article(2, "a.com", "http://a.com/2", "Another one")), ("mentions", old), ("mentions", mention(3, "http://a.com/2", "a"))), 1, NOW)
+    assert store.store.runs("articles") == store.store.runs("mentions") == [0, 0]  # no run of derived mentions where there are no copies
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(store.articles.read()) and "Exchange" not in plan(store.dead.read())
+    mentions = plan(store.mentions.read("event_id", "url_hash"))
+    assert mentions.count("Exchange") == 1 and "sha2" in mentions.split("Exchange")[0]
+    got = sorted((r.event_id, r.url, r.url_hash) for r in store.mentions.read().collect())
+    assert got == [(k, u, hashlib.sha256(u.encode()).hexdigest()) for k, u in ((1, "http://a.com/1"), (2, "http://a.com/1"), (3, "http://a.com/2"))]
