@@ -142,3 +142,30 @@ def test_similar_lines_equal_brute_force(spark):
     roots = _roots(range(len(lines)), links)
     got = {r.doc_id for r in op10_lines.dedup_lines(awkward(spark, [(k, " ".join(x)) for k, x in enumerate(lines)])).collect() if r.removed}
     assert len(links) > 100 and got == {k for k, r in roots.items() if k != r}
+
+
+def test_a_line_has_no_more_buckets_than_edits_can_break(spark):
+    """One more than 2 floor(0.2 n), or than one less where one word put in allows one more edit. Words all differ here."""
+    rows = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in (4, 5, 9, 10, 23, 24, 60, 100)]
+    got = {r.line_id: r["count"] for r in op10_lines.bucket_keys(spark.createDataFrame(rows, "line_id bigint, line string"), 0.8).groupBy("line_id").count().collect()}
+    assert got == {4: 2, 5: 3, 9: 4, 10: 5, 23: 9, 24: 10, 60: 25, 100: 41}
+
+
+def test_similar_lines_of_unlike_lengths_share_a_bucket(spark):
+    """As many words put into a line, changed in it or taken from it as keep it similar, anywhere: a bucket is left."""
+    import random
+
+    rng, rows = random.Random(6), []
+    for n in list(range(4, 31)) + [44, 49, 59, 60, 74, 99]:
+        for put in range(n // 4 + 1):
+            line = [f"{'y' * rng.randrange(12)}{rng.randrange(10**6)}" for _ in range(n)]
+            other = list(line)
+            for at in sorted(rng.sample(range(n), (n + put) // 5 - put), reverse=True) if (n + put) // 5 >= put else []:
+                other[at] = f"z{rng.randrange(10**6)}"
+            for _ in range(put if (n + put) // 5 >= put else 0):
+                other.insert(rng.randrange(len(other) + 1), f"{'z' * rng.randrange(16)}{rng.randrange(10**6)}")
+            rows += [(2 * len(rows), " ".join(line)), (2 * len(rows) + 1, " ".join(other))]
+    keys = {}
+    for r in op10_lines.bucket_keys(spark.createDataFrame(rows, "line_id bigint, line string"), 0.8).collect():
+        keys.setdefault(r.line_id, set()).add(r.bucket)
+    assert len(rows) > 400 and all(keys[a] & keys[b] for (a, _), (b, _) in zip(rows[::2], rows[1::2], strict=True))
