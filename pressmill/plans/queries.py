@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pressmill.functions import scalars as S
 from pressmill.operators import articles as A
 from pressmill.operators import assembly, dedup, digest, evalset, filters, merge, parsers, passages, search, textindex
-from pressmill.operators.vectorindex import VectorIndex
+from pressmill.operators.vectorindex import VectorIndex, rounded
 from pressmill.plans import bindings as B
 from pressmill.plans.bindings import ARRIVALS, ARTICLES, EVENTS, MENTIONS, TEXTS, VECTORS, moment, sql_moment
 from pressmill.sources import layout, slots, web
@@ -612,7 +612,8 @@ _NEAREST = """SELECT q.vec_id AS query, e.vec_id AS article_id, 1 - list_dot_pro
 def vector_index_exact(t):
     """Lists are read until none that is left can hold a nearer vector."""
     index, queries = _vector_index(t)
-    return index.search(queries, 10, exact=True).select("query", "article_id", F.round("distance", 4).alias("distance"), "place")
+    found = index.search(queries, 10, exact=True, digits=7)
+    return found.select("query", "article_id", rounded(F.col("distance"), 4).alias("distance"), "place")
 
 
 @query("SELECT vec_id AS query, least(10, (SELECT count(*) FROM embeddings WHERE label = 2 AND vec_id % 3 = 0)) AS found, 0 AS strangers FROM embeddings WHERE vec_id % 20 = 0")

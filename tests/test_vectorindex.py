@@ -89,3 +89,27 @@ def test_blocks_and_parts_change_nothing(spark, index, vectors, monkeypatch):
     assert answers(index.search(asked(spark, vectors, ids), 15)) == whole
     got = answers(index.search(asked(spark, vectors, ids), 15, exact=True, probes=2))
     assert got == {k: plain(vectors, vectors[k], 15) for k in ids}
+
+
+def test_distances_are_those_of_the_vectors(spark, index, vectors):
+    """In double precision, not those of unit vectors, and a tie where they are one at seven digits."""
+    exact = lambda a, b: 1 - float(a @ b) / float(np.sqrt((a @ a) * (b @ b)))
+    wide = [None if v is None else np.asarray(v, dtype=float) for v in vectors]
+    for found in (index.search(asked(spark, vectors, [40, 333]), 15, exact=True), index.search(asked(spark, vectors, [40, 333]), 15)):
+        assert all(abs(r.distance - exact(wide[r.query], wide[r.article_id])) < 1e-14 for r in found.collect())
+
+
+@pytest.mark.parametrize("block", [8192, 2])
+def test_ties_at_seven_digits_fall_to_the_key(spark, tmp_path, monkeypatch, block):
+    from pressmill.operators import vectorindex
+
+    monkeypatch.setattr(vectorindex, "BLOCK", block)
+    rows = [[1.0, 0.5 - k * 1e-7] for k in range(6)] + [[1.0, 0.0], [0.0, 1.0]]  # larger keys are nearer to the query
+    ties = VectorIndex.build(table(spark, rows), f"file://{tmp_path}/t", lists=2)
+    exact = lambda b: 1 - float(b[0]) / float(np.sqrt(b[0] * b[0] + b[1] * b[1]))
+    far = [exact(np.float32(v).astype(float)) for v in rows]
+    query = spark.createDataFrame([(1, [1.0, 0.0])], "query int, embedding array<float>")
+    for digits in (7, None):
+        want = sorted(range(8), key=lambda k: (far[k] if digits is None else round(far[k], digits), k))
+        assert answers(ties.search(query, 4, exact=True, digits=digits)) == {1: want[:4]}
+    assert want[:4] == [6, 5, 4, 3]
