@@ -169,3 +169,43 @@ def test_similar_lines_of_unlike_lengths_share_a_bucket(spark):
     for r in op10_lines.bucket_keys(spark.createDataFrame(rows, "line_id bigint, line string"), 0.8).collect():
         keys.setdefault(r.line_id, set()).add(r.bucket)
     assert len(rows) > 400 and all(keys[a] & keys[b] for (a, _), (b, _) in zip(rows[::2], rows[1::2], strict=True))
+
+
+def _clusters(rng, n):
+    """Lines around `n` roots, many of which share pairs of common words."""
+    lines = []
+    for _ in range(n):
+        root = " ".join(rng.choice(["the old harbour", "of the city", "in the morning", "an old man", "the city council"]) + f" r{rng.randrange(10**6)}" for _ in range(6)).split()
+        for _ in range(4):
+            other = list(root)
+            for at in rng.sample(range(len(other)), rng.randint(0, 4)):
+                other[at] = f"q{rng.randrange(10**6)}"
+            lines.append(" ".join(other))
+    rng.shuffle(lines)
+    return list(enumerate(lines))
+
+
+def test_passes_and_salts_change_nothing(spark, monkeypatch):
+    """Buckets are taken in passes of so many members, large ones by salts, and any order of grams finds the same lines."""
+    import random
+
+    rows = _clusters(random.Random(5), 60)
+    removed = lambda: sorted(r.doc_id for r in op10_lines.dedup_lines(awkward(spark, rows)).collect() if r.removed)
+    whole = removed()
+    assert 60 < len(whole) < 240
+    passes, plain = [], op10_lines.written
+    monkeypatch.setattr(op10_lines, "written", lambda df, what: (passes.append(what), plain(df, what))[1])
+    for name, value in {"PASS": 1, "SAMPLED": 2, "HOT": 2, "COUNTED": 1, "BLOCK": 5}.items():
+        monkeypatch.setattr(op10_lines, name, value)
+    assert removed() == whole and passes.count("line-apart") > 1
+    monkeypatch.setattr(op10_lines, "word_ranks", lambda lines: None)
+    assert removed() == whole
+
+
+def test_grams_of_rare_words_are_the_buckets(spark):
+    """Words that most lines have are left out of the buckets, however long they are."""
+    rows = [(k, " ".join(x for j in range(5) for x in ("extraordinarily", "internationally", f"a{k}b{j}", f"c{k}d{j}"))) for k in range(64)]
+    lines = spark.createDataFrame(rows, "line_id bigint, line string")
+    ranks = op10_lines.word_ranks(lines.crossJoin(spark.range(20)).selectExpr("id * 64 + line_id AS line_id", "line"))
+    shared = lambda r: op10_lines.bucket_keys(lines, 0.8, r).groupBy("bucket").count().where("count > 1").count()
+    assert shared(None) > 0 and shared(ranks) == 0
