@@ -102,10 +102,12 @@ class FeedStore:
             return
         now = now or datetime.now(UTC).replace(tzinfo=None)
         self.store.expire(now)
-        raw = parsers.with_kind(raw.select("slot", "row_no", "line", "kind")).persist()
-        # Every line is parsed once, for good rows and dead letters alike.
-        parsed = {kind: parse(raw.where(F.col("kind") == kind)).persist() for kind, (parse, _) in parsers.PARSERS.items()}
+        raw = parsers.with_kind(raw.select("slot", "row_no", "line", "kind"))
+        folder = f"{self.store.path}/parsed/b{batch:012d}"
         try:
+            # Every line is parsed once, for good rows and dead letters alike.
+            with ThreadPoolExecutor(3) as pool:
+                parsed = dict(pool.map(lambda kind: (kind, self._parsed(raw, kind, f"{folder}/{kind}")), parsers.PARSERS))
             good = {kind: rows.where("reason is null").select(f"{parsers.PARSERS[kind][1]}.*", "row_no", F.col("slot").alias("_slot")) for kind, rows in parsed.items()}
             # The tables hardly depend on one another and a batch is small, so their jobs run side by side.
             with ThreadPoolExecutor(3) as pool:
@@ -119,8 +121,15 @@ class FeedStore:
                 self.store.write_run(name, rows, batch)
             self.store.commit(batch, now)
         finally:
-            for rows in (raw, *parsed.values()):
-                rows.unpersist()
+            self.store.drop(folder)
+
+    def _parsed(self, raw: DataFrame, kind: str, folder: str) -> DataFrame:
+        """The parsed lines of a kind, written: readers open the columns that they need, in pieces of a file, where a cached
+        partition would be held, and moved to other executors, whole. Good rows need their line no more."""
+        rows = parsers.PARSERS[kind][0](raw.where(F.col("kind") == kind))
+        rows = rows.withColumn("line", F.when(F.col("reason").isNotNull(), F.col("line")))
+        rows.write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder)
 
     def _newest(self, table: str, rows: DataFrame, at: str, known: DataFrame) -> DataFrame:
         """The newest row of each key of a batch, of equally new ones the later arrival, with what is known of the key. Known rows

@@ -227,6 +227,9 @@ class RunStore:
                     runs.remove(run)
         return out
 
+    def drop(self, folder: str) -> None:
+        self._fs.delete(self._path(folder), True)
+
     def bytes_stored(self, table: str | None = None) -> int:
         """Bytes of the runs that count."""
         runs = [r["dir"] for name, rows in self.manifest()["runs"].items() if table in (None, name) for r in rows]

@@ -147,3 +147,16 @@ def test_rows_of_a_table_move_once(spark, tmp_path):
     assert mentions.count("Exchange") == 1 and "sha2" in mentions.split("Exchange")[0]
     got = sorted((r.event_id, r.url, r.url_hash) for r in store.mentions.read().collect())
     assert got == [(k, u, hashlib.sha256(u.encode()).hexdigest()) for k, u in ((1, "http://a.com/1"), (2, "http://a.com/1"), (3, "http://a.com/2"))]
+
+
+def test_a_batch_does_not_hold_its_lines(spark, tmp_path, monkeypatch):
+    """Raw and parsed lines are not cached, whose partitions are held whole; what a batch wrote for itself goes with it."""
+    kept, frames = [], type(spark.range(0))
+    plain = frames.persist
+    monkeypatch.setattr(frames, "persist", lambda self, *a: (kept.append(self.columns), plain(self, *a))[1])
+    store = feed.FeedStore(spark, f"file://{tmp_path}/state", buckets=2)
+    store.absorb(messages(spark, ("gkg", article(1, "a.com", "http://a.com/1", TITLE)), ("gkg", "broken"), ("mentions", mention(1, "http://a.com/1", "a"))), 0, NOW)
+    assert not [columns for columns in kept if "line" in columns]
+    assert [r.line for r in store.dead.read().collect()] == ["broken"]
+    assert store.articles.read().count() == 1 and store.mentions.read().count() == 1
+    assert not list((tmp_path / "state" / "parsed").glob("*"))
